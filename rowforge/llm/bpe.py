@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -31,7 +33,7 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 class Encoder:
     """Encodes texts to ids, and ids to bytes. ``keep`` bounds each of the two caches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
         self.ranks, self.keep = ranks, keep
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         words = (max(ranks.values()) >> 6) + 1
@@ -238,15 +240,9 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(raw: bytes, pattern: str) -> Encoder:
     """One encoder, with its caches, for each vocabulary in a Python worker."""
-    key = (hash(raw), len(raw), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(parse_ranks(raw), pattern)
-    return _encoders[key]
+    return held(("bpe", hash(raw), len(raw), pattern), lambda: Encoder(parse_ranks(raw), pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

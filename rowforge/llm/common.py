@@ -46,5 +46,17 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` made for ``key`` in this Python worker; only the last key's is kept, as workers go on to other
+    operators and their caches would add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def n_words(column):
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Where scripts begin, in code points (fixed values): letters from one entry to the next are of its script.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -78,7 +80,7 @@ class Model:
 
     def words(self, texts: list[list[str]]) -> np.ndarray:
         """Rows of the score table for all words of all texts."""
-        if len(self._at) > 500_000:
+        if len(self._at) > 250_000:
             self.__init__(self.languages, self.weight, self.scripts, self.prior, self.penalty)
         at = self._at
         flat = [list(map(at.get, words)) for words in texts]
@@ -219,9 +221,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(languages, weight, {s: a for s, a in able.items() if a.any()}, prior, penalty)
 
 
-_models: dict[int, Model] = {}
-
-
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, spans`` of each row, from its text alone.
 
@@ -237,18 +236,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = sent.value
         key = 0 if parts is None else hash((tuple(parts[0]), parts[1].tobytes()[:100_000], parts[4]))
-        if key not in _models and parts is not None:
-            _models.clear()
-            _models[key] = Model(*parts)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lo = 0
-            while lo < len(texts):  # about 12 million characters at once
+            while lo < len(texts):  # about 4 million characters at once
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 12_000_000):
+                while hi < len(texts) and (hi == lo or size < 4_000_000):
                     size += len(texts[hi] or "")
                     hi += 1
-                found = [("und", 0.0, [])] * (hi - lo) if parts is None else _models[key].label(texts[lo:hi])
+                found = [("und", 0.0, [])] * (hi - lo) if parts is None else held(("langid", key), lambda: Model(*parts)).label(texts[lo:hi])
                 spans = [[{"first": a, "last": b, "lang": s} for a, b, s in x[2]] for x in found]
                 kinds = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
                 yield pa.record_batch(
@@ -273,10 +269,10 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weight.astype(np.float32), model.scripts, model.prior, model.penalty))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Model(*sent.value)
+        labeller = held(("langid", id(sent.value)), lambda: Model(*sent.value))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 found = labeller.label(part.column(names.index(text_col)).to_pylist())
                 yield part.filter(pa.array([x[0] != "und" for x in found]))
 
