@@ -19,6 +19,6 @@ def plain(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def formatted(s: pd.Series) -> pd.Series:
-        return s.map(plain_number, na_action="ignore")
+        return pd.Series([None if pd.isna(x) else plain_number(x) for x in s], dtype=object)
 
     return formatted(c)
