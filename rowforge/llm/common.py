@@ -51,7 +51,7 @@ _held: dict = {}
 
 def held(key, make):
     """What ``make`` made for ``key`` in this Python worker; only the last key's is kept, as workers go on to other
-    operators and their caches would add up."""
+    operators and their caches would add up. Keys of learned models are drawn on the driver: an id() may come again."""
     if key not in _held:
         _held.clear()
         _held[key] = make()

@@ -8,6 +8,7 @@ word. All texts of a batch take each step of the recursion together. A text's la
 from __future__ import annotations
 
 from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,10 +233,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     # fixed size: buckets times languages
     sent = spark.sparkContext.broadcast(None if model is None else (model.languages, model.weight.astype(np.float32), model.scripts, model.prior, model.penalty))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = sent.value
-        key = 0 if parts is None else hash((tuple(parts[0]), parts[1].tobytes()[:100_000], parts[4]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lo = 0
@@ -267,9 +268,10 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         return docs.limit(0)
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weight.astype(np.float32), model.scripts, model.prior, model.penalty))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = held(("langid", id(sent.value)), lambda: Model(*sent.value))
+        labeller = held(("langid", key), lambda: Model(*sent.value))
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
