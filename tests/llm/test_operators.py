@@ -250,7 +250,30 @@ def test_lm(docs, empty):
     first = np.isin(np.arange(9), (0, 4))
     z = model.forward(x, first)[5].reshape(-1, lm.DIM) @ model.u + model.b[x.ravel()]
     z -= np.log(np.exp(z).sum(1, keepdims=True))
-    assert np.allclose(model.log_p(x, first, y, step=3).ravel(), z[np.arange(len(z)), y.ravel()], atol=1e-4)
+    starts = np.arange(lm.CLASSES) % 3 == 0
+    p, edge = model.log_p(x, first, y, starts, step=3)
+    assert np.allclose(p.ravel(), z[np.arange(len(z)), y.ravel()], atol=1e-4)
+    assert np.allclose(edge.ravel(), np.log(np.exp(z[:, starts]).sum(1)), atol=1e-4)
+
+
+def test_lm_probabilities(docs, monkeypatch):
+    """Words found by the join score like words of the common table; empty texts and texts of one word make no more than 1."""
+    made, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    every = remainder("doc_id", 7) != 2
+    near = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect()}
+    monkeypatch.setattr(lm, "COMMON_WORDS", 0)
+    for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect():
+        other = near[r.doc_id, r.n_tokens]
+        assert (r.n_known, r.train_tokens) == (other.n_known, other.train_tokens) and math.isclose(r.base_score, other.base_score, rel_tol=1e-9)
+        # repeated words are joined in their mean context, which makes a little less of them
+        assert r.score <= other.score + 1e-6 and math.isclose(r.score, other.score, rel_tol=0.05)
+    count = Counter(w for r in docs.filter(every).collect() for w in lm.words_of(r.text))
+    with open(path(), "rb") as f:
+        encoding = lm.tokenizer(f.read(), public_tokenizers.PATTERN)
+    scorer = lm.Scorer(made[0], encoding, dict(count), sum(count.values()) + docs.filter(every).count())
+    found = [r[3] for r in scorer.score(["", "unseen", *(w.decode() for w in count)])]
+    assert max(found) < 0 and sum(10**p for p in found) <= 1 + 1e-6
 
 
 def test_mixing(docs, empty):
