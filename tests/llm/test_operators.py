@@ -276,6 +276,26 @@ def test_lm_probabilities(docs, monkeypatch):
     assert max(found) < 0 and sum(10**p for p in found) <= 1 + 1e-6
 
 
+def test_lm_learns_from_all_rows(docs, monkeypatch):
+    """Frequencies, neighbours and the attention's targets are those of all training texts, however few it begins with."""
+    monkeypatch.setattr(lm, "FIT_DOCUMENTS", 4)
+    every, seen = remainder("doc_id", 7) != 2, {}
+    for name in ("_id_counts", "_neighbours", "_go_on"):
+        monkeypatch.setattr(lm, name, lambda *a, f=getattr(lm, name), name=name: seen.setdefault(name, f(*a)))
+    lm.score(docs, path(), public_tokenizers.PATTERN, every)
+    with open(path(), "rb") as f:
+        encoding = lm.tokenizer(f.read(), public_tokenizers.PATTERN)
+    texts = [[i for w in lm.words_of(r.text) for i in encoding.encode_ordinary(" " + w.decode())] for r in docs.filter(every).collect()]
+    count = Counter(i for t in texts for i in t)
+    frequency = seen["_id_counts"][2]
+    assert {i: int(frequency[i]) for i in np.flatnonzero(frequency)} == dict(count)
+    assert seen["_neighbours"][:, :65].sum() == seen["_neighbours"][:, 65:].sum() == sum(max(len(t) - 1, 0) for t in texts)
+    top = int(np.argmax(frequency))
+    after = Counter(b for t in texts for a, b in zip(t, t[1:]) if a == top)
+    assert {i: int(seen["_neighbours"][i, 0]) for i in np.flatnonzero(seen["_neighbours"][:, 0])} == dict(after)
+    assert seen["_go_on"] == sum(len(t) + 1 for t in texts)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
