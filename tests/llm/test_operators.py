@@ -296,6 +296,17 @@ def test_lm_learns_from_all_rows(docs, monkeypatch):
     assert seen["_go_on"] == sum(len(t) + 1 for t in texts)
 
 
+def test_lm_joined_words(docs, monkeypatch):
+    """By one model, words found by the join score exactly like words of the common table, repeated within a text or not."""
+    made, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: made[0] if made else made.append(fit(*a)) or made[0])
+    every = remainder("doc_id", 7) != 2
+    near = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect()}
+    monkeypatch.setattr(lm, "COMMON_WORDS", 0)
+    for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect():
+        assert math.isclose(r.score, near[r.doc_id, r.n_tokens], rel_tol=1e-9)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
