@@ -101,9 +101,8 @@ def sketches(texts: list[str], levels: int = 3, keep: int = 64) -> list[np.ndarr
         short = (x >> U(32)).astype(np.uint32)
         for i, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(x)]):
             part = short[a:b]
-            if b - a > 16 * keep:  # only the smallest can matter
-                part = np.partition(part, 8 * keep)[: 8 * keep] if len(np.unique(part[: 8 * keep])) > 7 * keep else part
-            out[i] = np.unique(part)[:keep]
+            least = np.unique(np.partition(part, 8 * keep)[: 8 * keep] if b - a > 16 * keep else part)  # mostly, only these matter
+            out[i] = (least if len(least) >= keep else np.unique(part))[:keep]
     return out
 
 

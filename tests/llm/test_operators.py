@@ -182,6 +182,12 @@ def test_lcp(docs, empty):
         assert (r.fingerprint, r.edited_fingerprint) == (lcp._written(own), lcp._written(changed))
         assert math.isclose(r.near_edited, lcp.likeness(own, changed)) and math.isclose(r.near_next, lcp.likeness(own, following))
     assert lcp.compare_edited(empty).count() == 0
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    varied, passage = line(30_000), line(400)
+    repeated = varied + passage * 1000
+    (few,), (all_,) = lcp.sketches([repeated]), lcp.sketches([repeated], keep=1 << 20)
+    assert len(few) == 64 and few.tolist() == all_[:64].tolist()
     long = prose(5, 3000)
     a, b = lcp.sketches([long, "moved " * 3 + long])
     assert lcp.likeness(a, b) > 0.9
