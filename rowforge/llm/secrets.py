@@ -2,8 +2,9 @@ r"""Secret scans with corpus-wide ownership, with DataFrame functions only.
 
 Rules find spans in every text. The values found, and every other long token with digits and letters, are
 candidates: their hashes are counted over the corpus by distinct repositories and distinct owners. A value that more
-than ``max_owners`` owners hold is a widely copied example; one that few hold is live-looking. Live-looking tokens
-outside the rules' spans are added as spans of kind ``live``; the rules' own spans always stay.
+than ``max_owners`` owners hold, or that is in more than ``max_repositories`` repositories, be it of one owner, is a
+widely copied example; any other is live-looking. Live-looking tokens outside the rules' spans are added as spans of
+kind ``live``; the rules' own spans always stay.
 """
 
 from __future__ import annotations
@@ -58,11 +59,13 @@ def scan(
     text_col: str = "text",
     owner_col: str = "source",
     repository_col: str = "doc_id",
+    max_repositories: int = 10,
 ) -> DataFrame:
     """``doc_id, text_hash, base, spans, n_example, n_live`` of each row.
 
-    ``base`` and ``spans`` are arrays of structs ``at, k, to, kind, v``, sorted by place and kind; n_example counts the
-    spans whose value more than ``max_owners`` owners hold, n_live the others. A null or empty text has no spans; a
+    ``base`` and ``spans`` are arrays of structs ``at, k, to, kind, v``, sorted by place and kind; those of ``spans`` also
+    have the value's numbers of ``owners`` and ``repos``. n_example counts the spans whose value more than ``max_owners``
+    owners or more than ``max_repositories`` repositories hold, n_live the others. A null or empty text has no spans; a
     null owner or repository counts as one of its own; repeated rows are scanned alike and count once; an empty
     table gives an empty result. Other columns are not read.
     """
@@ -77,15 +80,15 @@ def scan(
     some = F.size("base") + F.size("tokens") > 0
     values = rows.filter(some).withColumn("s", F.explode(F.concat("base", "tokens")))
     values = values.select("n", "owner", "repo", "s", F.col("s")["v"].alias("v"))
-    owners = values.groupBy("v", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("v", "owner").agg(F.sum("one").alias("repos"))
-    owners = owners.groupBy("v").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = values.join(owners, "v").withColumn("live", F.col("owners") <= max_owners)
-    judged = judged.filter(F.col("live") | (F.col("s")["kind"] != "live"))
+    owners = values.select("v", "owner").distinct().groupBy("v").agg(F.count("*").alias("owners"))
+    repos = values.select("v", "repo").distinct().groupBy("v").agg(F.count("*").alias("repos"))
+    judged = values.join(owners.join(repos, "v"), "v").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories))
+    judged = judged.withColumn("s", F.struct("s.*", "owners", "repos")).filter(F.col("live") | (F.col("s")["kind"] != "live"))
     judged = judged.groupBy("n").agg(F.array_sort(F.collect_list("s")).alias("spans"), F.count_if(~F.col("live")).alias("n_example"), F.count_if("live").alias("n_live"))
-    none = F.array().cast(rows.schema["base"].dataType)
+    none = F.array().cast(judged.schema["spans"].dataType)
     with_spans = rows.filter(some).select("n", "doc_id", "text_hash", "base").join(judged, "n", "left")
     with_spans = with_spans.select("doc_id", "text_hash", "base", F.coalesce("spans", none).alias("spans"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_example", "n_live")])
-    without = rows.filter(~some).select("doc_id", "text_hash", "base", F.col("base").alias("spans"), F.lit(0).cast("long").alias("n_example"), F.lit(0).cast("long").alias("n_live"))
+    without = rows.filter(~some).select("doc_id", "text_hash", "base", none.alias("spans"), F.lit(0).cast("long").alias("n_example"), F.lit(0).cast("long").alias("n_live"))
     return with_spans.unionByName(without)
 
 

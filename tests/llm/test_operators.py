@@ -93,6 +93,12 @@ def test_secrets(docs, empty, spark):
     rows = [(i, f"use {key} here", f"owner{i}") for i in range(4)] + [(9, "only 77Yt66Rr55Ee44Ww33Qq22 mine", "owner9")]
     got = {r.doc_id: r.spans for r in secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
     assert got[0] == "" and got[9] == "live:5:27"
+    rows = [(i, f"use {key} here", "hot") for i in range(40)] + [(50 + i, "in 77Yt66Rr55Ee44Ww33Qq22 two", "hot") for i in range(2)]
+    copied = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.report(secrets.scan(copied)).collect()}
+    assert got[0].spans == "" and got[50].spans == "live:3:25" and got[50].n_live == 1
+    assert {(s.owners, s.repos) for r in secrets.scan(copied).collect() for s in r.spans} == {(1, 2)}
+    assert {r.text for r in secrets.redact(copied).collect()} == {f"use {key} here", "in [SECRET] two"}
     masked = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert len(masked) == len(text_of) and not any(m for r in masked.values() for m in [BASE[1][1].search(r.text or "")])
 
