@@ -46,18 +46,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_in > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", beside: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed long; and the long columns ``beside``, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 fp = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.record_batch([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), pa.array(fp), *part.columns[2:]], names=["doc_id", "fp", *beside])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *beside).mapInArrow(run, ", ".join([f"doc_id {kind}, fp long", *(f"{c} long" for c in beside)]))
 
 
 def find_roots(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,6 +165,13 @@ def near_links(distinct: DataFrame, radius: int = 3, chunk: int = 2048) -> DataF
     return keyed.repartition(tasks, "g").mapInArrow(run, "a long, b long")
 
 
+def _hung(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp, least, root`` of each distinct fingerprint: its least id, and the fingerprint that stands for its component."""
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(near_links(distinct.select("fp"), radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of each row: component_id is the least id among all rows that links reach.
 
@@ -173,17 +180,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     has no other. An empty table gives an empty result; other columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(near_links(distinct.select("fp"), radius))
-    hung = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hung = _hung(rows, radius)
     least = hung.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(hung.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is its component's; of rows that repeat it, one."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "near_id")
-    kept = docs.join(kept, docs[id_col].eqNullSafe(F.col("near_id"))).drop("near_id")
-    return kept.dropDuplicates([id_col])
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, of each component of :func:`near_duplicates`.
+
+    It is the row of the least id, null ids last; of rows that share it, by a hash of the text, then of all columns
+    (but maps). So rows without an id and rows that repeat an id with another text stand for themselves.
+    """
+    hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    marked = docs.withColumns({"near_text": F.xxhash64(text_col), "near_row": F.xxhash64(*hashed)})
+    rows = cut(fingerprints(marked, id_col, text_col, ("near_text", "near_row")), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_text", "near_row")
+    first = rows.groupBy("fp").agg(F.min(first).alias("first")).join(_hung(rows, radius).select("fp", "root"), "fp")
+    kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.near_text", "first.near_row"), "simhash-kept")
+    return marked.join(kept, ["near_text", "near_row"]).dropDuplicates(["near_text", "near_row"]).select(*docs.columns)

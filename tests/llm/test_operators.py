@@ -237,6 +237,24 @@ def test_simhash(docs, empty, spark):
         assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == len(parts)
 
 
+def test_drop_near_duplicates(empty, spark):
+    """One row of each component: null ids and rows of one id stand for themselves."""
+    same, other = prose(11, 400), prose(12, 400)
+    rows = [(None, prose(20 + i, 80), "n") for i in range(5)] + [(None, prose(20, 80), "n"), (None, same, "n")]
+    rows += [(7, same, "a"), (7, other, "b"), (3, same, "c"), (9, other, "d"), (9, other, "d"), (4, prose(13), "e"), (4, prose(13), "f"), (5, None, "g"), (6, "", "h")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(table).collect()]
+    fp = {t: simhash.fingerprint(t) for _, t, _ in rows}
+    assert all(a == b or (fp[a] ^ fp[b]).bit_count() > 3 or not (a or b) for a in fp for b in fp)  # only equal texts are near
+    best = {}
+    for i, t, s in rows:
+        best[t or ""] = min(best.get(t or "", (True, 0)), (i is None, i or 0))
+    assert sorted((t or "", i is None, i or 0) for i, t, _ in kept) == sorted((t, *v) for t, v in best.items())
+    again = [tuple(r) for r in simhash.drop_near_duplicates(table.repartition(5)).collect()]
+    assert sorted(kept, key=str) == sorted(again, key=str)
+    assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(table).columns == table.columns
+
+
 def test_lm(docs, empty):
     rows = docs.collect()
     trained = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
