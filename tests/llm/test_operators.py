@@ -274,67 +274,141 @@ def test_lm(docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(count[w] > 0 for w in words) + 1, total)
         assert r.score < 0
     assert lm.score(empty, path(), public_tokenizers.PATTERN, remainder("doc_id", 7) != 2).count() == 0
+
+
+def laid_of(texts, into, out, encoding):
+    words = lm.Words(encoding)
+    return lm.Laid(*words.spelled(*words.rows(texts)), into, out)
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    with open(path(), "rb") as f:
+        return lm.tokenizer(f.read(), public_tokenizers.PATTERN)
+
+
+def plain_log_p(model, encoding, text):
+    """The model's log probabilities of every id at every place of a text, by loops; and the ids, the end last."""
+    att, end = model.attention, encoding.n_vocab
+    ids = [i for w in lm.words_of(text) for i in encoding.encode_ordinary(" " + w.decode())] + [end]
+    x = [lm.IN - 1] + [int(model.into[i]) for i in ids[:-1]]
+    rows = []
+    for t in range(len(ids)):
+        seen = range(max(t // lm.BLOCK - 1, 0) * lm.BLOCK, t + 1)
+        a = np.array([math.exp(att.q[x[t]] @ att.k[x[j]] / math.sqrt(lm.DIM) + att.r[t - j]) for j in seen])
+        h = (a / a.sum()) @ att.v[[x[j] for j in seen]]
+        z = h @ att.u + att.b[x[t]] + att.c[x[t - 1] if t else lm.IN - 1]
+        z = z - math.log(np.exp(z).sum())
+        rows.append(z[model.out] + model.share[x[t]][model.column])
+    return np.array(rows), ids
+
+
+def test_lm_attention(encoding):
+    """The blocks' probabilities are those of plain loops over texts, and a step follows the gradient."""
     rng = np.random.default_rng(0)
-    model = lm.Attention(1)
-    x, y = (rng.integers(0, lm.CLASSES, (9, lm.BLOCK)) for _ in range(2))
-    first = np.isin(np.arange(9), (0, 4))
-    z = model.forward(x, first)[5].reshape(-1, lm.DIM) @ model.u + model.b[x.ravel()]
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    starts = np.arange(lm.CLASSES) % 3 == 0
-    p, edge = model.log_p(x, first, y, starts, step=3)
-    assert np.allclose(p.ravel(), z[np.arange(len(z)), y.ravel()], atol=1e-4)
-    assert np.allclose(edge.ravel(), np.log(np.exp(z[:, starts]).sum(1)), atol=1e-4)
-
-
-def test_lm_probabilities(docs, monkeypatch):
-    """Words found by the join score like words of the common table; empty texts and texts of one word make no more than 1."""
+    n = encoding.n_vocab + 1
+    into, out = (np.append(rng.integers(0, k - 1, n - 1), k - 1).astype(np.uint8) for k in (lm.IN, lm.OUT))
+    model = lm.Model(lm.Attention(1), into, out, np.zeros(n, np.int64), np.zeros((lm.IN, 1), np.float32))
+    att = model.attention
+    att.b, att.c = (rng.normal(0, 1, (lm.IN, lm.OUT)).astype(np.float32) for _ in range(2))
+    some = ["", "a", prose(1, 9), prose(2, 40), "x " * 7, prose(3, 3)]
+    laid = laid_of(some, into, out, encoding)
+    got = np.add.reduceat(model.log_p(laid), laid.begin)
+    att.log_p(laid.x, laid.last, laid.y, laid.first, step=2)
+    for text, p in zip(some, got):
+        rows, ids = plain_log_p(model, encoding, text)
+        assert math.isclose(rows[np.arange(len(ids)), ids].sum(), p, rel_tol=1e-4, abs_tol=1e-4)
+    on, weight = np.arange(len(laid.x)), laid.real.astype(np.float32)
+    loss = lambda: -att.log_p(laid.x, laid.last, laid.y, laid.first)[laid.real.ravel()].mean()
+    for name in lm.Attention.NAMES:  # the sign of each table's gradient, which the first step of Adam follows
+        before, was = loss(), getattr(att, name).copy()
+        att.begin()
+        att.step(laid.x, laid.last, laid.x[on - 1], laid.first, laid.y, weight, 1e-3)
+        moved = getattr(att, name) - was
+        for other in lm.Attention.NAMES:
+            if other != name:
+                setattr(att, other, getattr(att, other))
+        assert np.abs(moved).max() > 0, name
+        grad = att.mean[name] / 0.1
+        i = np.unravel_index(np.argmax(np.abs(grad)), grad.shape)
+        values = []
+        for d in (1e-2, -1e-2):
+            own = getattr(att, name).copy()
+            own[i] += d
+            keep = getattr(att, name)
+            setattr(att, name, own)
+            values.append(loss())
+            setattr(att, name, keep)
+        assert np.sign(values[0] - values[1]) == np.sign(grad[i]), name
+        assert loss() < before
+    at = loss()
+    for _ in range(30):
+        att.train(laid, on, 0.02)
+    assert loss() < 0.8 * at
+
+
+def fitted(monkeypatch):
     made, fit = [], lm.fit
     monkeypatch.setattr(lm, "fit", lambda *a: made.append(fit(*a)) or made[-1])
-    every = remainder("doc_id", 7) != 2
-    near = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect()}
-    monkeypatch.setattr(lm, "COMMON_WORDS", 0)
-    for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect():
-        other = near[r.doc_id, r.n_tokens]
-        assert (r.n_known, r.train_tokens) == (other.n_known, other.train_tokens) and math.isclose(r.base_score, other.base_score, rel_tol=1e-9)
-        # repeated words are joined in their mean context, which makes a little less of them
-        assert r.score <= other.score + 1e-6 and math.isclose(r.score, other.score, rel_tol=0.05)
-    count = Counter(w for r in docs.filter(every).collect() for w in lm.words_of(r.text))
-    with open(path(), "rb") as f:
-        encoding = lm.tokenizer(f.read(), public_tokenizers.PATTERN)
-    scorer = lm.Scorer(made[0], encoding, dict(count), sum(count.values()) + docs.filter(every).count())
-    found = [r[3] for r in scorer.score(["", "unseen", *(w.decode() for w in count)])]
-    assert max(found) < 0 and sum(10**p for p in found) <= 1 + 1e-6
+    return made
+
 
+def test_lm_probabilities(docs, encoding, monkeypatch):
+    """At every place the ids' probabilities add up to 1; a text's score is the sum of its ids' logarithms."""
+    made = fitted(monkeypatch)
+    got = lm.score(docs, path(), public_tokenizers.PATTERN, remainder("doc_id", 7) != 2).collect()
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        if len(text_of[r.doc_id] or "") < 1000:
+            rows, ids = plain_log_p(made[0], encoding, text_of[r.doc_id])
+            assert np.allclose(np.exp(rows).sum(1), 1, atol=1e-3)
+            assert math.isclose(rows[np.arange(len(ids)), ids].sum() / math.log(10), r.score, rel_tol=1e-4)
 
-def test_lm_learns_from_all_rows(docs, monkeypatch):
-    """Frequencies, neighbours and the attention's targets are those of all training texts, however few it begins with."""
+
+def test_lm_learns_from_all_rows(docs, encoding, monkeypatch):
+    """Words, pairs of ids and the attention's targets are those of all training texts, however few it begins with."""
     monkeypatch.setattr(lm, "FIT_DOCUMENTS", 4)
     every, seen = remainder("doc_id", 7) != 2, {}
-    for name in ("_id_counts", "_neighbours", "_go_on"):
+    for name in ("_counts", "_neighbours", "_go_on"):
         monkeypatch.setattr(lm, name, lambda *a, f=getattr(lm, name), name=name: seen.setdefault(name, f(*a)))
     lm.score(docs, path(), public_tokenizers.PATTERN, every)
-    with open(path(), "rb") as f:
-        encoding = lm.tokenizer(f.read(), public_tokenizers.PATTERN)
-    texts = [[i for w in lm.words_of(r.text) for i in encoding.encode_ordinary(" " + w.decode())] for r in docs.filter(every).collect()]
+    trained = [r.text for r in docs.filter(every).collect()]
+    end = encoding.n_vocab
+    texts = [[i for w in lm.words_of(t) for i in encoding.encode_ordinary(" " + w.decode())] for t in trained]
+    pairs = Counter(a * (end + 1) + b for t in texts for a, b in zip([end, *t], [*t, end]))
+    got = seen["_counts"].collect()
+    assert {r.pair: r.n for r in got if r.word is None} == pairs
+    assert {bytes(r.word): r.n for r in got if r.word is not None} == Counter(lm.key_of(w) for t in trained for w in lm.words_of(t))
     count = Counter(i for t in texts for i in t)
-    frequency = seen["_id_counts"][2]
-    assert {i: int(frequency[i]) for i in np.flatnonzero(frequency)} == dict(count)
-    assert seen["_neighbours"][:, :65].sum() == seen["_neighbours"][:, 65:].sum() == sum(max(len(t) - 1, 0) for t in texts)
-    top = int(np.argmax(frequency))
+    top = min(count, key=lambda i: (-count[i], i))
     after = Counter(b for t in texts for a, b in zip(t, t[1:]) if a == top)
     assert {i: int(seen["_neighbours"][i, 0]) for i in np.flatnonzero(seen["_neighbours"][:, 0])} == dict(after)
-    assert seen["_go_on"] == sum(len(t) + 1 for t in texts)
-
-
-def test_lm_joined_words(docs, monkeypatch):
-    """By one model, words found by the join score exactly like words of the common table, repeated within a text or not."""
-    made, fit = [], lm.fit
-    monkeypatch.setattr(lm, "fit", lambda *a: made[0] if made else made.append(fit(*a)) or made[0])
+    taken = lambda n: sum(min(n - lm.BLOCK * i, lm.BLOCK) for i in range(-(-n // lm.BLOCK)) if (i + n) % lm.FIT_SHARE == 0)
+    assert seen["_go_on"] == sum(taken(len(t) + 1) for t in texts)
+    monkeypatch.setattr(lm.Words.__init__, "__defaults__", (10,))  # words are forgotten again and again
+    raw = type("Sent", (), {"value": open(path(), "rb").read()})
+    again = lm._counts(docs.filter(every), raw, public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_lm_joined_words(docs, spark, monkeypatch):
+    """Words found by the join count like words of the common table, long ones too; the score does not depend on it."""
+    more = spark.createDataFrame([(900 + i, f"{'longword' * 20} {'y' * 70} short", None) for i in range(9)], "doc_id long, text string, lang string")
+    table = docs.unionByName(more, allowMissingColumns=True)
     every = remainder("doc_id", 7) != 2
-    near = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect()}
+    near = {(r.doc_id, r.n_tokens): r for r in lm.score(table, path(), public_tokenizers.PATTERN, every).collect()}
     monkeypatch.setattr(lm, "COMMON_WORDS", 0)
-    for r in lm.score(docs, path(), public_tokenizers.PATTERN, every).collect():
-        assert math.isclose(r.score, near[r.doc_id, r.n_tokens], rel_tol=1e-9)
+    for r in lm.score(table, path(), public_tokenizers.PATTERN, every).collect():
+        other = near[r.doc_id, r.n_tokens]
+        assert (r.n_known, r.train_tokens, r.score) == (other.n_known, other.train_tokens, other.score)
+        assert math.isclose(r.base_score, other.base_score, rel_tol=1e-9)
+
+
+def test_lm_beats_the_base_score(spark):
+    """On held-out texts as a whole, seen and unseen words taken together."""
+    real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = [r for r in lm.score(real, path(), public_tokenizers.PATTERN, remainder("doc_id", 7) != 2).collect() if not r.trained]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_mixing(docs, empty):
