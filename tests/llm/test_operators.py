@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from rowforge.llm import bpe, html, langid, lcp, lm, mixing, quality, secrets, sharding, simhash
 from rowforge.llm.common import remainder
@@ -347,6 +348,16 @@ def test_lm_attention(encoding):
     assert loss() < 0.8 * at
 
 
+def test_lm_words(encoding):
+    """A word's ids are its own, whatever words are spelled with it."""
+    rng = random.Random(4)
+    some = ["a\u00a0", "\u00a0b", "\u00a0", "don't", "x\x1c", "\x85y", "12ab'll", "漢字", "\u3000z", *(prose(9).split())]
+    for _ in range(30):
+        text = " ".join(rng.choice(some[rng.choice([0, 3]) :]) for _ in range(20))
+        ids, _ = (words := lm.Words(encoding)).spelled(*words.rows([text]))
+        assert ids.tolist() == [i for w in lm.words_of(text) for i in encoding.encode_ordinary(" " + w.decode())]
+
+
 def fitted(monkeypatch):
     made, fit = [], lm.fit
     monkeypatch.setattr(lm, "fit", lambda *a: made.append(fit(*a)) or made[-1])
@@ -383,8 +394,8 @@ def test_lm_learns_from_all_rows(docs, encoding, monkeypatch):
     top = min(count, key=lambda i: (-count[i], i))
     after = Counter(b for t in texts for a, b in zip(t, t[1:]) if a == top)
     assert {i: int(seen["_neighbours"][i, 0]) for i in np.flatnonzero(seen["_neighbours"][:, 0])} == dict(after)
-    taken = lambda n: sum(min(n - lm.BLOCK * i, lm.BLOCK) for i in range(-(-n // lm.BLOCK)) if (i + n) % lm.FIT_SHARE == 0)
-    assert seen["_go_on"] == sum(taken(len(t) + 1) for t in texts)
+    some = docs.filter(every).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm.FIT_SHARE)) == 0).collect()
+    assert some and seen["_go_on"] == sum(len(i) + 1 for r in some for i in [[i for w in lm.words_of(r.text) for i in encoding.encode_ordinary(" " + w.decode())]])
     monkeypatch.setattr(lm.Words.__init__, "__defaults__", (10,))  # words are forgotten again and again
     raw = type("Sent", (), {"value": open(path(), "rb").read()})
     again = lm._counts(docs.filter(every), raw, public_tokenizers.PATTERN).collect()
