@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def test_lm(docs, empty):
 
 def laid_of(texts, into, out, encoding):
     words = lm.Words(encoding)
-    return lm.Laid(*words.spelled(*words.rows(texts)), into, out)
+    return lm.Laid(*words.spelled(*words.rows(pa.array(texts, pa.string()))), into, out)
 
 
 @pytest.fixture(scope="module")
@@ -352,10 +353,15 @@ def test_lm_words(encoding):
     """A word's ids are its own, whatever words are spelled with it."""
     rng = random.Random(4)
     some = ["a\u00a0", "\u00a0b", "\u00a0", "don't", "x\x1c", "\x85y", "12ab'll", "漢字", "\u3000z", *(prose(9).split())]
-    for _ in range(30):
-        text = " ".join(rng.choice(some[rng.choice([0, 3]) :]) for _ in range(20))
-        ids, _ = (words := lm.Words(encoding)).spelled(*words.rows([text]))
-        assert ids.tolist() == [i for w in lm.words_of(text) for i in encoding.encode_ordinary(" " + w.decode())]
+    words = lm.Words(encoding)
+    for _ in range(60):
+        if rng.random() < 0.2:
+            words.forget()
+        lines = [rng.choice([" ", "\t\r", "", "\x0b"]).join(rng.choice(some[rng.choice([0, 3]) :]) for _ in range(rng.randint(0, 20))) for _ in range(4)]
+        lines[1] = rng.choice([None, "", " \n", " a ", "A\x0cÀb"])
+        ids, length = words.spelled(*words.rows(pa.array(lines, pa.string())))
+        plain = [[i for w in lm.words_of(t) for i in encoding.encode_ordinary(" " + w.decode())] for t in lines]
+        assert ids.tolist() == [i for t in plain for i in t] and length.tolist() == [len(t) + 1 for t in plain]
 
 
 def fitted(monkeypatch):
@@ -396,7 +402,7 @@ def test_lm_learns_from_all_rows(docs, encoding, monkeypatch):
     assert {i: int(seen["_neighbours"][i, 0]) for i in np.flatnonzero(seen["_neighbours"][:, 0])} == dict(after)
     some = docs.filter(every).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm.FIT_SHARE)) == 0).collect()
     assert some and seen["_go_on"] == sum(len(i) + 1 for r in some for i in [[i for w in lm.words_of(r.text) for i in encoding.encode_ordinary(" " + w.decode())]])
-    monkeypatch.setattr(lm.Words.__init__, "__defaults__", (10,))  # words are forgotten again and again
+    monkeypatch.setattr(lm, "KEEP", 10)  # words are forgotten again and again
     raw = type("Sent", (), {"value": open(path(), "rb").read()})
     again = lm._counts(docs.filter(every), raw, public_tokenizers.PATTERN).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
