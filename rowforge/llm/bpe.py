@@ -12,14 +12,16 @@ import base64
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, portions
 
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -30,28 +32,65 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+class Spelled(dict):
+    """Numbers strings and keeps their ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def numbers(self, keys: list[str], spell) -> np.ndarray:
+        """The keys' numbers; ``spell`` gives the ids of those that are new."""
+        row = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        if self.new:
+            new, self.new = self.new, []
+            ids, size = spell(new)
+            self.begin = np.concatenate((self.begin, np.cumsum(size) - size + len(self.ids)))
+            self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
+        return row
+
+    def spelled(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered keys, one after another, and how many each has."""
+        size = self.size[row]
+        return self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[row] - (np.cumsum(size) - size), size)], size
+
+
 class Encoder:
     """Encodes texts to ids, and ids to bytes. ``keep`` bounds each of the two caches."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
         self.ranks, self.keep = ranks, keep
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         words = (max(ranks.values()) >> 6) + 1
         self._low = [0] * words
         self._mid = [0] * ((words >> 6) + 1)
         self._pretokens = regex.compile(pattern).findall
         # What the pattern makes of a run of non-space characters and one space before it depends on nothing
         # outside, so ids are kept by such segments.
-        self._segments = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-        self._spaced = re.compile(f"[{WHITE}] ").search
-        self._kept: dict[str, bytes] = {}
-        self._merged: dict[str, bytes] = {}
+        self._cut = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        self._spaced = f"[{WHITE}] "
+        self._segments, self._pieces = Spelled(), Spelled()
         self._byte_id = np.array([ranks[bytes([b])] for b in range(256)])
         # Every way to spell a token by two others, sorted.
         ways = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         key, value = np.array([*ways, (1 << 62, -1)], np.int64).T
         by_key = np.argsort(key)
         self._pair_key, self._pair_value = key[by_key], value[by_key]
+        # The bytes of all tokens, one after another, by rank.
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self._bytes, self._size = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self._begin = np.cumsum(self._size) - self._size
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rank next, the leftmost among equals."""
@@ -167,17 +206,20 @@ class Encoder:
             found = self._pair_rank(token[changed], np.concatenate((token[right], token[at])))
             pair[changed] = found
             pair[n] = -1
-            new = list(zip(found.tolist(), changed.tolist())) + [(rank, x) for x in later]
-            for rank, x in new:
-                if rank >= 0:
-                    bucket = buckets.get(rank)
-                    if bucket is None:
-                        buckets[rank] = [x]
-                        low[rank >> 6] |= 1 << (rank & 63)
-                        mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-                        top |= 1 << (rank >> 12)
-                    else:
-                        bucket.append(x)
+            on = found >= 0
+            for r, x in zip(found[on].tolist(), changed[on].tolist()):
+                if r in buckets:
+                    buckets[r].append(x)
+                else:
+                    buckets[r] = [x]
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << (r >> 6 & 63)
+                    top |= 1 << (r >> 12)
+            if later:
+                buckets.setdefault(rank, []).extend(later)
+                low[rank >> 6] |= 1 << (rank & 63)
+                mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+                top |= 1 << (rank >> 12)
         packed = token[:n][alive].astype("<u4").tobytes()
         ends = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
         return [packed[a:b] for a, b in zip([0, *ends], ends)]
@@ -188,56 +230,83 @@ class Encoder:
         at = np.searchsorted(self._pair_key, key)
         return np.where(self._pair_key[at] == key, self._pair_value[at], -1)
 
-    def _work_out(self, segments: list[str]) -> dict[str, bytes]:
-        """Ids by the keys of segments that are in no cache."""
-        parts = {s: self._pretokens(s[1:] if s[:1] == " " else " " + s) for s in segments}
-        found, here = self._merged, {}
-        missing = [t for t in dict.fromkeys(t for p in parts.values() for t in p) if t not in found]
+    def _spell_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, and how many each has."""
+        packed: list = [None] * len(pieces)
         short = []
-        for token in missing:
-            piece = token.encode("utf-8", "surrogatepass")
+        for i, piece in enumerate(p.encode("utf-8", "surrogatepass") for p in pieces):
             whole = self.ranks.get(piece)
-            if whole is not None or len(piece) > 64 or len(missing) < 20:
-                here[token] = np.array([whole] if whole is not None else self.merge(piece), "<u4").tobytes()
+            if whole is not None:
+                packed[i] = np.array([whole], "<u4").tobytes()
+            elif len(piece) > 64 or len(pieces) < 20:
+                packed[i] = np.array(self.merge(piece), "<u4").tobytes()
             else:
-                short.append((token, piece))
+                short.append((i, piece))
         if short:
-            here.update(zip([t for t, _ in short], self.merge_many([p for _, p in short])))
-        ids = {s: b"".join([here.get(t) or found[t] for t in p]) for s, p in parts.items()}
-        if len(found) + len(here) > self.keep:
-            found.clear()
-        found.update((t, p) for t, p in here.items() if len(t) <= 48)
-        return ids
+            for (i, _), ids in zip(short, self.merge_many([p for _, p in short])):
+                packed[i] = ids
+        return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+
+    def _spell_segments(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments by their keys, and how many each has."""
+        parts: list = [None] * len(keys)
+        plain = [i for i, k in enumerate(keys) if k.split() == [k]]
+        if plain:  # no white space inside: put together, each begins with the one pre-token that begins with a space
+            found = self._pretokens(" " + " ".join([keys[i] for i in plain]))
+            begin = [j for j, p in enumerate(found) if p[0] == " "]
+            for i, lo, hi in zip(plain, begin, [*begin[1:], len(found)]):
+                parts[i] = found[lo:hi]
+        for i, k in enumerate(keys):
+            if parts[i] is None:
+                parts[i] = self._pretokens(k[1:] if k[:1] == " " else " " + k)
+        row = self._pieces.numbers(list(chain.from_iterable(parts)), self._spell_pieces)
+        ids, size = self._pieces.spelled(row)
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        stop = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+        return ids, np.diff(stop)
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        rows, missing = [], {}
-        for text in texts:
-            # A key is a segment without the space it begins with, or a space and a segment that begins with none.
-            if self._spaced(text):
-                segments = [x[1:] if x[:1] == " " and " " not in x[1:] else " " + x for x in self._segments(text)]
-            else:  # no white space stands before a space, so each space begins a segment
-                segments = text.split(" ")
-                segments[0] = " " + segments[0]
-            ids = list(map(self._kept.get, segments))
-            if None in ids:
-                missing.update((s, None) for s, x in zip(segments, ids) if x is None)
-            rows.append((segments, ids))
-        if missing:
-            missing = self._work_out(list(missing))
-            for segments, ids in rows:
-                if None in ids:
-                    ids[:] = [missing[s] if x is None else x for s, x in zip(segments, ids)]
-            if len(self._kept) + len(missing) > self.keep:
-                self._kept.clear()
-            self._kept.update((s, x) for s, x in missing.items() if len(s) <= 48 and "\n" not in s)
-        return [b"".join(ids) for _, ids in rows]
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        if max(len(self._segments), len(self._pieces)) > self.keep or max(len(self._segments.ids), len(self._pieces.ids)) > 16 * self.keep:
+            self._segments.forget()
+            self._pieces.forget()
+        texts = pc.fill_null(texts, "")
+        # A key is a segment without the space it begins with, or a space and a segment that begins with none. Where no
+        # white space stands before a space, each space begins a segment.
+        odd = pc.match_substring_regex(texts, self._spaced)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        found, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        first = pc.list_element(split, 0).to_pylist()
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = [[x[1:] if x[:1] == " " and " " not in x[1:] else " " + x for x in self._cut(texts[i].as_py())] for i in odd.tolist()]
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        every = self._segments.numbers([*names, *(" " + x for x in first), *chain.from_iterable(cut)], self._spell_segments)
+        row = every[: len(names)][found.indices.to_numpy()]
+        row[offsets[:-1]] = every[len(names) : len(names) + len(first)]
+        n = np.diff(offsets)
+        if len(odd):
+            own = np.split(every[len(names) + len(first) :], np.cumsum([len(x) for x in cut])[:-1])
+            rows = np.split(row, offsets[1:-1])
+            for i, x in zip(odd.tolist(), own):
+                rows[i], n[i] = x, len(x)
+            row = np.concatenate(rows)
+        ids, size = self._segments.spelled(row)
+        stop = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+        return ids, np.diff(stop)
+
+    def decode_array(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of lists of ids that follow one another, and how many each list has; ``n``: a list's ids."""
+        size = self._size[ids]
+        stop = np.cumsum(size)
+        out = self._bytes[np.arange(int(size.sum())) + np.repeat(self._begin[ids] - (stop - size), size)]
+        return out, np.diff(np.append(0, stop)[np.append(0, np.cumsum(n))])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_array(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found = np.frombuffer(ids, "<u4")
+        return self.decode_array(found, np.array([len(found)]))[0].tobytes()
 
 
 def encoder(raw: bytes, pattern: str) -> Encoder:
@@ -255,16 +324,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     with open(ranks_path, "rb") as f:
         raw = df.sparkSession.sparkContext.broadcast(f.read())
 
+    def packed(values: np.ndarray, n: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(raw.value, pattern)
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 1000):
-                ids = bpe.encode_many([t or "" for t in texts.slice(lo, 1000).to_pylist()])
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, 1000), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())],
-                    names=["id", "ids", "decoded"],
-                )
+            for part in portions(batch, 1, 8 << 20):
+                ids, n = bpe.encode_array(part.column(1))
+                yield pa.record_batch([part.column(0), packed(ids.astype("<u4"), 4 * n), packed(*bpe.decode_array(ids, n))], names=["id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
