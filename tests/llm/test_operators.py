@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -134,22 +135,63 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><l
 <div class="comments"><p>A reader says that this is all wrong and goes on at length.</p></div></article><aside>side</aside><form><p>mail me</p></form><footer>&copy; x</footer></body></html>"""
 
 
+LONG = "It goes on and on with many words in a row, as an article does, until the sentence ends."
+#: Page kinds and what is content in them.
+KINDS = [
+    (PAGE, "Head & line\nFirst para bold more\nSecond é one with several words in it."),
+    (f"<nav><a href=/>A</a></nav><div class='ad'>{LONG}</div><article><h1>T</h1><p>Sh is.<p>{LONG}</article><footer>{LONG}</footer>", f"T\nSh is.\n{LONG}"),
+    ("<article><h1>T.</h1><p>One</article><footer>x</footer>", "T.\nOne"),
+    (f"<main><header><h1>Own title</h1></header><p>{LONG}</p><section class=comments><p>{LONG}</p></section></main><div id=sidebar><article><p>{LONG}</p></article></div>", f"Own title\n{LONG}"),
+    (f"<body><div><a href=1>Home</a> <a href=2>News</a></div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><a href=3>About</a></div>", f"{LONG}\nShort.\n{LONG}"),
+    ("<form><p>Mail me</form><select><option>a</select>", ""),
+    (f"<table><tr><td class=entry><p>{LONG}<ul><li>One item<li>Another</ul><td class=widget>{LONG}</table>", f"{LONG}\nOne item\nAnother"),
+]
+
+
 def test_html(spark):
-    assert html.main_text(PAGE) == "Head & line\nFirst para bold more\nSecond é one with several words in it."
-    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
+    prices = html.learn(np.zeros(360), np.zeros(360))
+    for page, text in KINDS:
+        assert html.main_text(page, prices) == text
+    assert html.main_text(None, prices) == html.main_text("", prices) == html.main_text("<nav>x</nav>", prices) == ""
+
+    def cost(side, price, ties):
+        return sum(max(-p, 0) if s else max(p, 0) for p, s in zip(price, side)) + sum(w for a, b, w in ties if side[a] != side[b])
+
     rng = random.Random(2)
-    for _ in range(60):
-        n = rng.randint(1, 7)
+    for _ in range(150):
+        n = rng.randint(1, 9)
         price = [rng.uniform(-2, 2) for _ in range(n)]
         ties = [(i, j, rng.uniform(0, 1.5)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
-
-        def cost(side, price=price, ties=ties):
-            return sum(max(-p, 0) if s else max(p, 0) for p, s in zip(price, side)) + sum(w for a, b, w in ties if side[a] != side[b])
-
-        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
-        assert math.isclose(cost(html.minimum_cut(price, ties)), best, abs_tol=1e-6)
-    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (None, None, None, None), (1, "u", PAGE, "t")], "page_id long, url string, html string, text string")
-    assert sorted(r.n_chars for r in html.extract(pages).collect()) == [0] + [len(html.main_text(PAGE))] * 2 and html.extract(pages.limit(0)).count() == 0
+        best = min(cost([bool(m >> i & 1) for i in range(n)], price, ties) for m in range(1 << n))
+        assert math.isclose(cost(html.minimum_cut(price, ties), price, ties), best, abs_tol=1e-6)
+        number = {i: i for i in range(n)}
+        assert math.isclose(cost(html._flow(price, [(number[a], number[b], w) for a, b, w in ties]), price, ties), best, abs_tol=1e-6)
+    for page, _ in KINDS:  # whole extractions against all labellings
+        price, ties = html.graph(html.parse(page), prices)
+        if len(price) <= 16:
+            best = min(cost([bool(m >> i & 1) for i in range(len(price))], price, ties) for m in range(1 << len(price)))
+            assert math.isclose(cost(html.minimum_cut(price, ties), price, ties), best, abs_tol=1e-3)
+    many = "<body>" + "".join(f"<div><p>{'w ' * (1 + i * 7 % 40)}</p><a href=x>l</a></div><div>" for i in range(20_000))
+    start = time.perf_counter()
+    html.main_text(many, prices)
+    assert time.perf_counter() - start < 10  # a quadratic way takes minutes
+    pages = spark.createDataFrame([(1, "u", PAGE, "t"), (None, None, None, None), (1, "u", PAGE, "t"), (2, None, "", "x")], "page_id long, url string, html string, text string")
+    assert sorted(r.n_chars for r in html.extract(pages).collect()) == [0, 0] + [len(KINDS[0][1])] * 2 and html.extract(pages.limit(0)).count() == 0
+
+
+def test_html_prices(spark):
+    """Learned prices tell prose from links, and ties decide blocks against them on the given pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    prices = html.fit(pages)
+    cell = lambda page: html.parse(page).cell[0]
+    assert prices[cell(f"<p>{LONG} {LONG}")] > 1 and prices[cell("<li><a href=x>News</a>")] < -1
+    turned = blocks = 0
+    for r in pages.collect():
+        price, ties = html.graph(page := html.parse(r.html), prices)
+        side = html.minimum_cut(price, ties)[: len(page.text)]
+        assert side == [page.inside[e] > 0 for e in page.element]  # these pages say of all their blocks what they are
+        blocks, turned = blocks + len(side), turned + sum((p > 0) != s for p, s in zip(price, side))
+    assert turned > 0.02 * blocks
 
 
 def test_langid(docs, empty, spark):
