@@ -65,4 +65,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_quality, op4_html, op5_langid, op6_lcp, op7_simhash, op8_lm, op9_mixing, op10_sharding)}
-ORACLES = {"op9_mixing": mixing.oracle_sql()}
+ORACLES = {"op2_secrets": secrets.oracle_sql(), "op9_mixing": mixing.oracle_sql()}

@@ -106,6 +106,65 @@ def test_secrets(docs, empty, spark):
     assert len(masked) == len(text_of) and not any(m for r in masked.values() for m in [BASE[1][1].search(r.text or "")])
 
 
+def plain_scan(rows, max_owners=2, max_repositories=10):
+    """Spans (at, end, kind, live) of each row (doc_id, text, source), by loops."""
+    found, owners, repos = [], {}, {}
+    for i, t, source in rows:
+        t = t or ""
+        base = [(m.start(), k, m.end(), name, m[g]) for k, (name, p, g, least) in enumerate(BASE) for m in p.finditer(t) if len(m[g]) >= least]
+        own = list(base)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                own.append((m.start(), 3, m.end(), "live", m[0]))
+        found.append(sorted(own))
+        for x in own:
+            owners.setdefault(x[4], set()).add(source)
+            repos.setdefault(x[4], set()).add(i)
+    live = lambda v: len(owners[v]) <= max_owners and len(repos[v]) <= max_repositories
+    return [[(a, b, kind, live(v)) for a, _, b, kind, v in own if kind != "live" or live(v)] for own in found]
+
+
+def test_secrets_against_loops(spark, monkeypatch):
+    """Random texts with spans that touch, overlap and repeat; hot values looked up or joined; masks; clashing names."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("abcdef0123456789XYZ+/=_-") for _ in range(rng.choice([9, 22, 40]))) for _ in range(6)] + ["AKIA" + "Q7" * 8, "0a" * 20, "é漢🙂", "x"]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(keys) if rng.random() < 0.6 else rng.choice(["token=", "Secret: ", 'api_key":"', " ", "\n", ".", "é ", "AKIA", "password=password:"]) for _ in range(rng.randint(0, 12))]
+        rows.append((i if i % 9 else None if i else 0, "".join(parts) or None, rng.choice(["a", "b", "c", "d", None]), 7, "x", "y", [1], "z"))
+    rows += [rows[5], rows[5], (500, (keys[1] + " é ") * 900, "a", 0, "x", "y", [1], "z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, secret_id string, secret_hash string, secret_masks array<int>, n string").repartition(4)
+    rows = [tuple(r) for r in table.collect()]
+    for hot in (10_000, 1):
+        monkeypatch.setattr(secrets, "HOT_ROWS", hot)
+        want = plain_scan([r[:3] for r in rows])
+        got = secrets.scan(table).select("doc_id", F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["at"], x["to"])).alias("s"), "n_example", "n_live").collect()
+        made = sorted(str((r[0], [f"{k}:{a}:{b}" for a, b, k, _ in w], sum(not x[3] for x in w), sum(x[3] for x in w))) for r, w in zip(rows, want))
+        assert sorted(str((r.doc_id, r.s, r.n_example, r.n_live)) for r in got) == made
+    assert any(not x[3] for w in want for x in w) and any(x[2] == "live" for w in want for x in w)
+    clean = []
+    for r, w in zip(rows, want):
+        out, end = "", 0
+        for a, b, _, _ in w:
+            if a >= end:
+                out += (r[1] or "")[end:a] + "[SECRET]"
+            end = max(end, b)
+        text = out + (r[1] or "")[end:] if w else r[1]
+        clean.append((r[0], text, r[2], len(text) if w else r[3], *r[4:]))
+    assert sorted(map(str, clean)) == sorted(str(tuple(r)) for r in secrets.redact(table).collect())
+    assert secrets.redact(table).columns == table.columns and secrets.redact(table.limit(0)).count() == 0
+
+
+def test_secrets_in_long_texts(spark):
+    """60,000 tokens in one text, in time that grows with their number."""
+    text = " ".join(f"{i:06d}{'aB3+' * 5}" for i in range(60_000))
+    table = spark.createDataFrame([(1, text, "a", len(text))], "doc_id long, text string, source string, n_chars long")
+    start = time.perf_counter()
+    assert secrets.scan(table).selectExpr("size(spans)").first()[0] == 60_000
+    assert time.perf_counter() - start < 40
+    assert secrets.redact(table).selectExpr("n_chars").first()[0] == 9 * 60_000 - 1
+
+
 def test_quality(docs, empty, spark):
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
