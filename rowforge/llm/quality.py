@@ -1,8 +1,8 @@
 """Quality rules: a decision list learned by sequential covering over text statistics.
 
 Rules for poor texts are conjunctions of thresholds. Each grows on two thirds of the labelled rows by the
-condition of the most information gain, is pruned on the last third, and joins the list if it is precise enough; the
-rows that it covers then leave. The list is emitted as ordered Spark conditional expressions.
+condition of the most information gain, is pruned on the last third, and joins the list if it is precise enough (if not,
+one that begins with another feature is tried); the rows that it covers then leave. The list is emitted as ordered Spark conditional expressions.
 """
 
 from __future__ import annotations
@@ -113,47 +113,58 @@ def _holds(rule, x: np.ndarray) -> np.ndarray:
     return on
 
 
-def learn(x: np.ndarray, poor: np.ndarray, most_rules: int = 24, most_conditions: int = 4, precision: float = 0.97, least: int = 3, thresholds: int = 64) -> list:
-    """The rules for poor rows, each a list of (feature, over, threshold)."""
-    grow = np.arange(len(x)) % 3 != 2
-    left, rules = np.ones(len(x), bool), []
-    while len(rules) < most_rules:
-        rule, on = [], left & grow
-        while len(rule) < most_conditions and (on & ~poor).any() and (on & poor).any():
-            best = (1e-9, None)
-            p0, n0 = (on & poor).sum(), (on & ~poor).sum()
-            for f in range(x.shape[1]):
-                v = x[on, f]
-                cuts = np.unique(np.quantile(v, np.linspace(0, 1, thresholds)))
-                cuts = (cuts[1:] + cuts[:-1]) / 2
-                if not len(cuts):
-                    continue
-                own = np.sort(v[poor[on]]), np.sort(v[~poor[on]])
-                p_over, n_over = (len(o) - np.searchsorted(o, cuts, "right") for o in own)
-                for over, p, n in ((True, p_over, n_over), (False, p0 - p_over, n0 - n_over)):
-                    gain = _gain(p.astype(float), n.astype(float), p0, n0)
-                    i = int(np.argmax(gain))
-                    if gain[i] > best[0]:
-                        best = (gain[i], (f, over, float(cuts[i])))
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            on &= _holds([best[1]], x)
-        if not rule:
+def _grown(x: np.ndarray, poor: np.ndarray, on: np.ndarray, banned: set[int], most_conditions: int, thresholds: int) -> list:
+    """Conditions (feature, over, threshold), each the one of the most information gain on the rows that are left."""
+    rule: list = []
+    while len(rule) < most_conditions and (on & ~poor).any() and (on & poor).any():
+        best = (1e-9, None)
+        p0, n0 = (on & poor).sum(), (on & ~poor).sum()
+        for f in range(x.shape[1]):
+            if not rule and f in banned:
+                continue
+            steps = np.linspace(0, 1, thresholds)  # of all values and of those of poor rows, which may be few
+            cuts = np.unique(np.concatenate((np.quantile(x[on, f], steps), np.quantile(x[on & poor, f], steps))))
+            cuts = (cuts[1:] + cuts[:-1]) / 2
+            if not len(cuts):
+                continue
+            own = np.sort(x[on & poor, f]), np.sort(x[on & ~poor, f])
+            p_over, n_over = (len(o) - np.searchsorted(o, cuts, "right") for o in own)
+            for over, p, n in ((True, p_over, n_over), (False, p0 - p_over, n0 - n_over)):
+                gain = _gain(p.astype(float), n.astype(float), p0, n0)
+                i = int(np.argmax(gain))
+                if gain[i] > best[0]:
+                    best = (gain[i], (f, over, float(cuts[i])))
+        if best[1] is None:
             break
-        test = left & ~grow
+        rule.append(best[1])
+        on = on & _holds([best[1]], x)
+    return rule
+
 
-        def worth(r):
-            on = _holds(r, x) & test
-            return ((on & poor).sum() - (on & ~poor).sum()) / max(1, on.sum())
+def learn(x: np.ndarray, poor: np.ndarray, most_rules: int = 24, most_conditions: int = 6, precision: float = 0.97, least: int = 3, thresholds: int = 64) -> list:
+    """The rules for poor rows, each a list of (feature, over, threshold).
 
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule.pop()
-        on = _holds(rule, x) & left
-        if (on & poor).sum() < least or (on & poor).sum() < precision * on.sum():
+    A grown rule is pruned to the beginning that does best on the rows set aside, among those precise enough on all rows
+    left. If none is, another is grown that begins with another feature; if no feature begins one, the list ends.
+    """
+    grow = np.arange(len(x)) % 3 != 2
+    left, rules, banned = np.ones(len(x), bool), [], set()
+    while len(rules) < most_rules and len(banned) < x.shape[1]:
+        rule = _grown(x, poor, left & grow, banned, most_conditions, thresholds)
+        if not rule:
             break
-        rules.append(rule)
-        left &= ~on
+        best = (-2.0, None)
+        for k in range(1, len(rule) + 1):
+            on = _holds(rule[:k], x) & left
+            held = on & ~grow
+            worth = ((held & poor).sum() - (held & ~poor).sum()) / max(1, held.sum())
+            if (on & poor).sum() >= max(least, precision * on.sum()) and worth > best[0]:
+                best = (worth, rule[:k])
+        if best[1] is None:
+            banned.add(rule[0][0])
+            continue
+        rules.append(best[1])
+        left &= ~_holds(best[1], x)
     return rules
 
 
