@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,35 +132,57 @@ def fingerprints(docs: DataFrame, levels: int = 3, keep: int = 64, id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+#: Ranges of rows hold about so many bytes of text, and their bounds are drawn from so many rows for each.
+RANGE_BYTES, PER_RANGE = 64 << 20, 20
+
+
+def _place(bounds: list[tuple[bool, int, int]], none: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the sorted bounds (without an id, id, hash) are not after each key, and whether one is the key."""
+    place, meets = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    for lacks in (False, True):
+        on = np.flatnonzero(none == lacks)
+        before = sum(x[0] < lacks for x in bounds)
+        own = np.array([x[1:] for x in bounds if x[0] == lacks], np.int64).reshape(-1, 2)
+        lo, hi = (np.searchsorted(own[:, 0], ids[on], side) for side in ("left", "right"))
+        at, met = lo.copy(), np.zeros(len(on), bool)
+        for i in np.unique(lo[lo < hi]).tolist():  # rows whose id is that of bounds
+            some = np.flatnonzero((lo == i) & (lo < hi))
+            hashes = own[i : hi[some[0]], 1]
+            k = np.searchsorted(hashes, h[on[some]], "right")
+            at[some], met[some] = i + k, (k > 0) & (hashes[np.maximum(k - 1, 0)] == h[on[some]])
+        place[on], meets[on] = before + at, met
+    return place, meets
+
+
 def compare_edited(docs: DataFrame, levels: int = 3, keep: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of each row.
 
     The next row is that of the next id; null ids come last, rows of one id go by a hash of their text, and the
-    first row follows the last. The rows are dealt once by ranges of ids that begin at ids in the table, and the
-    first row of a range also goes to the range before it. A null text counts as the empty one; an empty table
-    gives an empty result; other columns are not read.
+    first row follows the last. The rows are dealt once by ranges of id and hash that begin at rows of the table, and the
+    first row of a range also goes to the range before it; so rows without an id, or with one id, are spread by their texts. A
+    null text counts as the empty one; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    least, cuts = rows.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()
-    cuts = sorted({c for c in cuts or [] if c > least})
-    table = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    begins = F.coalesce(F.array_position(table, F.col("doc_id")), F.lit(0))
-    part = F.lit(len(cuts)) if not cuts else F.when(F.col("doc_id").isNull(), F.lit(len(cuts)))
-    if cuts:
-        # binary search over the sorted cuts, as nested conditions
-        def place(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") < cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
-
-        part = part.otherwise(place(0, len(cuts)))
-    guest = F.when(begins > 0, begins.cast("int") - 1).when(F.col("doc_id") == F.lit(least), F.lit(len(cuts)))
-    to = F.explode(F.filter(F.array(F.struct(part.cast("int").alias("p"), F.lit(False).alias("guest")), F.struct(guest.cast("int").alias("p"), F.lit(True).alias("guest"))), lambda x: x["p"].isNotNull()))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h")
+    count, size, least = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.min(key)).first()
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // RANGE_BYTES)
+    draw = F.pmod(F.xxhash64("doc_id", "h", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, PER_RANGE * n / max(count, 1)))
+    drawn = sorted({tuple(r[0]) for r in rows.filter(draw).select(key.alias("k")).distinct().collect()})  # about PER_RANGE a range
+    bounds = sorted({drawn[i * len(drawn) // n] for i in range(1, n) if drawn} - {tuple(least or ())})
+    table = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("struct<p:int,begins:boolean>")
+    def placed(none: pd.Series, ids: pd.Series, h: pd.Series) -> pd.DataFrame:
+        place, meets = _place(table.value, none.to_numpy(), ids.to_numpy(), h.to_numpy())
+        return pd.DataFrame({"p": place.astype(np.int32), "begins": meets})
+
+    rows = rows.withColumn("at", placed(key["none"], key["id"], "h"))
+    first = F.lit(False) if least is None else (key["none"] == least[0]) & (key["id"] == least[1]) & (F.col("h") == least[2])
+    guest = F.when(F.col("at.begins"), F.col("at.p") - 1).when(first, F.lit(len(bounds)))
+    to = F.explode(F.filter(F.array(F.struct(F.col("at.p").alias("p"), F.lit(False).alias("guest")), F.struct(guest.cast("int").alias("p"), F.lit(True).alias("guest"))), lambda x: x["p"].isNotNull()))
     dealt = rows.select("doc_id", "text", to.alias("to")).select("doc_id", "text", "to.p", "to.guest")
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("p")).sortWithinPartitions("p", "guest", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("p")).sortWithinPartitions("p", "guest", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
 
     def rows_of(batches):
         for batch in batches:
