@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ SCRIPTS = (
 )
 BEGINS = [b for b, _ in SCRIPTS]
 BUCKETS = 1 << 15
-#: The fit takes about this many documents at most, by a hash of their id.
-FIT_DOCUMENTS = 4000
+#: The fit takes about this many documents at most, and of each language about this many if it has them.
+FIT_DOCUMENTS, LEAST_DOCUMENTS = 4000, 20
 NGRAMS = (1, 2, 3, 4)
 #: Which code points below 2^16 are letters.
 LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
@@ -138,15 +139,16 @@ class Model:
         row[place] = self.words(split)
         score = self._score[row]
         best = np.zeros((n_texts, k), np.float32)
-        # 255: the state goes on; else where it comes from
-        come = np.full((n, k), 255, np.uint8)
+        # none: the state goes on; else where it comes from
+        none = np.iinfo(np.uint8 if k < 255 else np.uint16).max
+        come = np.full((n, k), none, np.uint8 if k < 255 else np.uint16)
         for t, (lo, hi) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist())):
             b = best[: hi - lo]
             if t:
                 top = b.max(1)
                 switched = (top - self.penalty)[:, None]
                 worse = b < switched
-                come[lo:hi] = np.where(worse, b.argmax(1)[:, None], 255)
+                come[lo:hi] = np.where(worse, b.argmax(1)[:, None], none)
                 np.maximum(b, switched, out=b)
                 b -= top[:, None]
             b += score[lo:hi]
@@ -155,7 +157,7 @@ class Model:
             a = hi - lo
             path[lo:hi] = now[:a]
             source = come[lo:hi][np.arange(a), now[:a]]
-            now[:a] = np.where(source == 255, now[:a], source)
+            now[:a] = np.where(source == none, now[:a], source)
         path = path[place]  # by text again
         row = row[place]
         letters = self._letters[row]
@@ -180,14 +182,21 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", penalty: float = 4.0) -> Model | None:
-    """The model learned from about FIT_DOCUMENTS rows at most, chosen by a hash of their id; None without any."""
+    """The model learned from about FIT_DOCUMENTS rows at most, chosen by a hash of their id and text; None without any.
+
+    Every language has an equal part of them (all its rows if they are fewer, and LEAST_DOCUMENTS in any case), so a rare one
+    is learned however large the table is. The languages' names and counts are held on the driver.
+    """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     n = sum(sizes.values())
     if not n:
         return None
     if n > FIT_DOCUMENTS:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * FIT_DOCUMENTS / n))
+        quota = max(LEAST_DOCUMENTS, FIT_DOCUMENTS // len(sizes))
+        rates = docs.sparkSession.createDataFrame([(lang, quota / size) for lang, size in sizes.items()], "lang string, rate double")
+        draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        rows = rows.join(F.broadcast(rates), "lang").filter(draw < F.col("rate"))  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = {}
@@ -258,14 +267,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first:long,last:long,lang:string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`predict` does not call ``und``.
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language; where ``lang_col`` is null it gets the predicted one.
 
-    A text is ``und`` if it is null or has no letter, whatever the model, so this is a filter beside the scan; with no
-    model learned nothing is identified.
+    A row goes if its text is null, empty or without a letter, whatever the model. The prediction runs beside the row, so
+    texts are not joined with it again, and repeated rows and clashing names do no harm. Without a model (no row has both a
+    text and a language) rows with a letter stay as they are. An empty table stays empty.
     """
     if model is None:
-        return docs.limit(0)
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.weight.astype(np.float32), model.scripts, model.prior, model.penalty))
     key = uuid.uuid4().hex
@@ -275,7 +285,10 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                found = labeller.label(part.column(names.index(text_col)).to_pylist())
-                yield part.filter(pa.array([x[0] != "und" for x in found]))
+                found = pa.array([x[0] for x in labeller.label(part.column(names.index(text_col)).to_pylist())], pa.string())
+                if lang_col in names:
+                    i = names.index(lang_col)
+                    part = part.set_column(i, lang_col, pc.coalesce(part.column(i).cast(pa.string()), found).cast(part.schema.field(i).type))
+                yield part.filter(pc.not_equal(found, "und"))
 
     return docs.mapInArrow(run, docs.schema)
