@@ -59,6 +59,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of one key beyond which they are not shuffled to be joined; and no fewer than a 10,000th of all.
+HOT_ROWS = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``table``, which has every key once and in ``count`` how many of ``total`` rows have it.
+
+    The few hot keys (at most 10,000) are broadcast to the rows, so no task gets all rows of one; the others are shuffled.
+    """
+    hot = F.col(count) > max(HOT_ROWS, total // 10_000)
+    few, many = F.broadcast(table.filter(hot).drop(count)), table.filter(~hot).drop(count)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key))
+
+
 def remainder(column: str, n: int):
     """crc32 of a column's text form modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

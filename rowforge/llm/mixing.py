@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, fresh, join_counted, n_words
 
 #: Documents that share a hash prefix, on average, at most.
 PER_BUCKET = 4096
@@ -28,8 +28,10 @@ def _key(source_col: str):
     return F.when(F.col(source_col).isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col(source_col).cast("string")))
 
 
-def _hash(seed: int, id_col: str):
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+def _hash(seed: int, id_col: str, text_col: str):
+    """The place in the seeded order, by id; rows without an id are spread by their texts."""
+    text = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), text)).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
@@ -80,7 +82,7 @@ def mix(
     a null id) go by id and size, so equal rows may differ in ``taken`` but their sum is fixed; an empty table
     gives an empty result. Other columns are not read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("sk"), n_words(F.col(text_col)).alias("size"), _hash(seed, id_col).alias("h"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), _key(source_col).alias("sk"), n_words(F.col(text_col)).alias("size"), _hash(seed, id_col, text_col).alias("h"))
     rows, sources = _plan(cut(sized, "mix"), weights, share, max_epochs)
     buckets = rows.groupBy("sk", "b").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("sk").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,13 +103,13 @@ def repeat_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", tex
     at which each source's fractional repetition ends decides for every row where it is."""
     taken = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     extra = 2 * (F.col("taken") - F.col("full") * F.col("size")) >= F.greatest(F.col("size"), F.lit(1))
-    edges = taken.groupBy("sk").agg(F.first("full").alias("mix_full"), F.max(F.when(extra, F.col("h"))).alias("mix_edge"))
-    edges = cut(edges.withColumnRenamed("sk", "mix_sk"), "mix-edges")
-    if edges.count() <= 100_000:  # a row for each source
-        edges = F.broadcast(edges)
-    own = docs.withColumns({"mix_sk": _key(source_col), "mix_h": _hash(seed, id_col)}).join(edges, "mix_sk", "left")
-    copies = F.coalesce(F.col("mix_full") + F.when(F.col("mix_h") <= F.col("mix_edge"), 1).otherwise(0), F.lit(0))
-    return own.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    sk, h, full, edge, copy, rows = fresh(docs, "mix_sk", "mix_h", "mix_full", "mix_edge", "mix_copy", "mix_rows")
+    edges = taken.groupBy("sk").agg(F.first("full").alias(full), F.max(F.when(extra, F.col("h"))).alias(edge), F.count("*").alias(rows))
+    edges = cut(edges.withColumnRenamed("sk", sk), "mix-edges")  # a row for each source
+    own = docs.withColumns({sk: _key(source_col), h: _hash(seed, id_col, text_col)})
+    own = own.join(F.broadcast(edges), sk) if edges.count() <= 100_000 else join_counted(own, edges, sk, rows, edges.agg(F.sum(rows)).first()[0])
+    copies = F.coalesce(F.col(full) + F.when(F.col(h) <= F.col(edge), 1).otherwise(0), F.lit(0))
+    return own.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
 
 
 def oracle_sql(weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=7) -> str:
@@ -115,7 +117,7 @@ def oracle_sql(weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=7) -> str:
     return f"""
     WITH s AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS sk,
                  coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-                 md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+                 md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS h FROM documents),
     t AS (SELECT sk, sum(size)::BIGINT AS source_size FROM s GROUP BY sk),
     w AS (SELECT *, list_extract([{", ".join(map(str, weights))}], ((row_number() OVER (ORDER BY sk) - 1) % {len(weights)} + 1)::INT)::DOUBLE AS w,
             {share}::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS budget, {max_epochs}::DOUBLE * source_size AS cap FROM t),

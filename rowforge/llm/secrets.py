@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, join_counted
 
 #: The rules, in the contract's order (fixed values): kind, pattern, group that holds the value, its least length.
 RULES = (
@@ -29,8 +29,6 @@ KINDS = ("assign", "access", "hex", "live")
 
 HIT = "array<struct<k:int,i:int,gap:int,size:int,keep:boolean,v:bigint>>"
 SPAN = "array<struct<at:int,k:int,to:int,kind:string,v:bigint>>"
-#: Rows of one value beyond which it is looked up and not shuffled; and no fewer than a 10,000th of all.
-HOT_ROWS = 10_000
 
 
 def _hits(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -84,11 +82,7 @@ def _judged(docs: DataFrame, max_owners: int, id_col: str, text_col: str, owner_
     owners = spans.select("v", "owner").distinct().groupBy("v").agg(F.count("*").alias("owners"))
     repos = spans.select("v", "repo").distinct().groupBy("v").agg(F.count("*").alias("repos"))
     counts = cut(spans.groupBy("v").agg(F.count("*").alias("rows")).join(owners, "v").join(repos, "v"), "secrets-values")
-    # A value in a third of all rows must not meet all of them in one task: the few hot ones (at most 10,000) go to the rows.
-    hot = F.col("rows") > max(HOT_ROWS, spans.count() // 10_000)
-    told = ["v", "owners", "repos"]
-    cold = spans.join(F.broadcast(counts.filter(hot).select("v")), "v", "left_anti").join(counts.filter(~hot).select(*told), "v")
-    spans = spans.join(F.broadcast(counts.filter(hot).select(*told)), "v").unionByName(cold)
+    spans = join_counted(spans, counts, "v", "rows", spans.count())
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
     spans = spans.select("n", "at", "k", "to", kind.alias("kind"), "v", "owners", "repos", live.alias("live")).filter(F.col("live") | (F.col("k") < KINDS.index("live")))

@@ -24,12 +24,12 @@ def shard(docs: DataFrame, shards: int = 16, whole: int = 8, id_col: str = "doc_
     ``size`` is the text's UTF-8 bytes and 1; a null text counts as the empty one. Groups of equal texts of up to
     1/``whole`` of a shard are never cut; larger ones (fewer than ``shards * whole`` of them) only where they cross
     the end of a shard. ``slot`` counts the rows of a shard from 0 by their order. Ties and repeated rows go by id;
-    rows equal in all are interchangeable. An empty table gives an empty result; other columns are not read.
+    rows equal in all are interchangeable, and rows without an id are dealt out one by one. An empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"), F.xxhash64(F.col(id_col).cast("string")).alias("g"),
+        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string")))).alias("g"),
     )
     rows = cut(rows, "shard-rows")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, join_counted
 from .components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -166,8 +166,9 @@ def near_links(distinct: DataFrame, radius: int = 3, chunk: int = 2048) -> DataF
 
 
 def _hung(rows: DataFrame, radius: int) -> DataFrame:
-    """``fp, least, root`` of each distinct fingerprint: its least id, and the fingerprint that stands for its component."""
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    """``fp, least, rows, root`` of each distinct fingerprint: its least id, how many rows have it, and the fingerprint that
+    stands for its component."""
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     roots = components(near_links(distinct.select("fp"), radius))
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -182,8 +183,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     rows = cut(fingerprints(docs, id_col, text_col), "simhash")
     hung = _hung(rows, radius)
     least = hung.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = cut(hung.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(hung.select("fp", "rows", "root").join(least, "root").select("fp", "rows", "component_id"), "simhash-components")
+    return join_counted(rows, by_fp, "fp", "rows", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,9 +194,15 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id
     (but maps). So rows without an id and rows that repeat an id with another text stand for themselves.
     """
     hashed = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    marked = docs.withColumns({"near_text": F.xxhash64(text_col), "near_row": F.xxhash64(*hashed)})
-    rows = cut(fingerprints(marked, id_col, text_col, ("near_text", "near_row")), "simhash")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_text", "near_row")
+    text, row, copies = fresh(docs, "near_text", "near_row", "near_copies")
+    marked = docs.withColumns({text: F.xxhash64(text_col), row: F.xxhash64(*hashed)})
+    rows = cut(fingerprints(marked, id_col, text_col, (text, row)), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text, row)
     first = rows.groupBy("fp").agg(F.min(first).alias("first")).join(_hung(rows, radius).select("fp", "root"), "fp")
-    kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.near_text", "first.near_row"), "simhash-kept")
-    return marked.join(kept, ["near_text", "near_row"]).dropDuplicates(["near_text", "near_row"]).select(*docs.columns)
+    kept = first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first")[text].alias(text), F.col("first")[row].alias(row))
+    kept = cut(rows.groupBy(text, row).agg(F.count("*").alias(copies)).join(kept, [text, row], "left_semi"), "simhash-kept")
+    # Texts are shuffled once; only rows equal in all columns need a second look, and there are mostly none.
+    few = marked.join(kept.filter(F.col(copies) == 1).drop(copies), [text, row])
+    if not kept.filter(F.col(copies) > 1).isEmpty():
+        few = few.unionByName(marked.join(kept.filter(F.col(copies) > 1).drop(copies), [text, row]).dropDuplicates([text, row]))
+    return few.select(*docs.columns)

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from rowforge.llm import bpe, html, langid, lcp, lm, mixing, quality, secrets, sharding, simhash
+from rowforge.llm import bpe, common, html, langid, lcp, lm, mixing, quality, secrets, sharding, simhash
 from rowforge.llm.common import remainder
 from rowforge.llm.queries import RANKS
 
@@ -136,7 +136,7 @@ def test_secrets_against_loops(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, secret_id string, secret_hash string, secret_masks array<int>, n string").repartition(4)
     rows = [tuple(r) for r in table.collect()]
     for hot in (10_000, 1):
-        monkeypatch.setattr(secrets, "HOT_ROWS", hot)
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
         want = plain_scan([r[:3] for r in rows])
         got = secrets.scan(table).select("doc_id", F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["at"], x["to"])).alias("s"), "n_example", "n_live").collect()
         made = sorted(str((r[0], [f"{k}:{a}:{b}" for a, b, k, _ in w], sum(not x[3] for x in w), sum(x[3] for x in w))) for r, w in zip(rows, want))
@@ -279,24 +279,70 @@ def test_langid(docs, empty, spark):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
-def test_lcp(docs, empty):
-    rows = sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0], x[1] or 0))
-    got = sorted(lcp.compare_edited(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
-    assert [r.doc_id for r in got] == [x[1] for x in rows]
-    for i, r in enumerate(got):
-        t, f = rows[i][2], rows[(i + 1) % len(rows)][2]
-        edited = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        own, changed, following = lcp.sketches([t, edited, f])
-        assert (r.fingerprint, r.edited_fingerprint) == (lcp._written(own), lcp._written(changed))
-        assert math.isclose(r.near_edited, lcp.likeness(own, changed)) and math.isclose(r.near_next, lcp.likeness(own, following))
+def plain_names(text, levels=3):
+    """The phrases' names of one text, symbol by symbol."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & mask
+        return x ^ (x >> 32)
+
+    def toss(a, b, width):  # the lowest bit in which a differs from b, and that bit of a
+        low = next((i for i in range(width) if (a ^ b) >> i & 1), width)
+        return 2 * low + (a >> min(low, width - 1) & 1)
+
+    x = list(map(ord, text))
+    for _ in range(levels):
+        folded, i = [], 0
+        while i < len(x):
+            j = i
+            while j < len(x) and x[j] == x[i]:
+                j += 1
+            folded.append(x[i] if j - i == 1 else mix(x[i] ^ mix(j - i)))
+            i = j
+        small = [v & 0xFFFFFFFF for v in folded]
+        one = [toss(v, small[i - 1] if i else v ^ 0xFFFFFFFF, 32) for i, v in enumerate(small)]
+        two = [toss(v, one[i - 1] if i else 255, 8) for i, v in enumerate(one)]
+        begins = [0] + [i for i in range(1, len(two) - 1) if two[i] > two[i - 1] and two[i] >= two[i + 1]]
+        phrases = [folded[a:b] for a, b in zip(begins, [*begins[1:], len(folded)])]
+        x = [mix(sum(v * (mix(1 + k % 64) | 1) for k, v in enumerate(p)) & mask) for p in phrases]
+    return x
+
+
+def test_lcp_names():
+    """Fingerprints are the least of all phrases' names, worked out by loops: random texts, repeated units, ties."""
+    rng = random.Random(6)
+    line = lambda n, of="abcdefghijklmnopqrstuvwxyz ": "".join(rng.choice(of) for _ in range(n))
+    some = [line(rng.randint(1, 300), rng.choice(["ab", "abc ", "aé漢🙂", "abcdefghijklmnop "])) for _ in range(150)]
+    some += [line(rng.randint(1, 40)) * rng.randint(1, 90) for _ in range(40)] + [line(4000) + line(60) * 300 for _ in range(8)] + ["a" * 5000, "ab" * 3000, ""]
+    for text, found in zip(some, lcp.sketches(some)):
+        names = sorted({v >> 32 for v in plain_names(text)})[:64] if text else []
+        assert found.tolist() == names
+
+
+def test_lcp(docs, empty, spark, monkeypatch):
+    import xxhash
+
+    order = lambda x: (x[0], x[1] or 0, np.uint64(xxhash.xxh64_intdigest(x[2].encode(), 42)).view(np.int64))
+    rng = random.Random(2)
+    hot = [(rng.choice([None, None, 5, 6, 7]), prose(i % 70, 12) if i % 11 else None) for i in range(400)]
+    many = spark.createDataFrame(hot, "doc_id long, text string").repartition(5)
+    for table in (docs, many):
+        rows = sorted(((r.doc_id is None, r.doc_id, r.text or "") for r in table.collect()), key=order)
+        want = []
+        for i, (_, doc, t) in enumerate(rows):
+            f = rows[(i + 1) % len(rows)][2]
+            edited = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
+            own, changed, following = lcp.sketches([t, edited, f])
+            want.append((doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), lcp._written(own), lcp._written(changed), lcp.likeness(own, changed), lcp.likeness(own, following)))
+        assert sorted(map(tuple, lcp.compare_edited(table).collect()), key=str) == sorted(want, key=str)
     assert lcp.compare_edited(empty).count() == 0
-    rng = random.Random(3)
-    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
-    varied, passage = line(30_000), line(400)
-    repeated = varied + passage * 1000
-    (few,), (all_,) = lcp.sketches([repeated]), lcp.sketches([repeated], keep=1 << 20)
-    assert len(few) == 64 and few.tolist() == all_[:64].tolist()
+    bounds = sorted((rng.random() < 0.3, rng.randint(0, 9), rng.randint(-3, 3)) for _ in range(12))
+    keys = [(rng.random() < 0.3, rng.randint(0, 9), rng.randint(-3, 3)) for _ in range(500)]
+    bounds = sorted(set(bounds))
+    place, meets = lcp._place(bounds, *(np.array(x) for x in zip(*keys)))
+    assert place.tolist() == [sum(b <= k for b in bounds) for k in keys] and meets.tolist() == [k in bounds for k in keys]
     long = prose(5, 3000)
     a, b = lcp.sketches([long, "moved " * 3 + long])
     assert lcp.likeness(a, b) > 0.9
@@ -572,9 +618,148 @@ def test_sharding(docs, empty, spark):
     assert len(size) == 16 and max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
 
 
-def test_pipeline(spark):
+def xxh(text, seed=42):
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed)).view(np.int64))
+
+
+def test_sharding_against_loops(docs, spark):
+    """Order, cuts and slots worked out by loops; groups of equal texts go whole to one shard unless they are large."""
+    rng = random.Random(1)
+    rows = [(i if i % 50 else i // 7, "one text" if i % 3 == 0 else prose(i % 700, rng.randint(1, 40)) if i % 5 else None) for i in range(2500)]
+    shards, whole, pieces = 16, 8, 64
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards, whole)
+    laid = []
+    for i, t in rows:
+        t = t or ""
+        laid.append((xxh(t), zlib.crc32(t.encode()), xxh(str(i)) % pieces, i, len(t.encode()) + 1))
+    total, size, copies = sum(x[4] for x in laid), Counter(), Counter()
+    for x in laid:
+        size[x[:2]] += x[4]
+        copies[x[:2]] += 1
+    large = sorted(((size[g], *g) for g in size if size[g] * shards * whole > total and copies[g] > 1), reverse=True)
+    first = {x[1:]: k - len(large) for k, x in enumerate(large)}
+    assert first
+    laid.sort(key=lambda x: (first.get(x[:2], (x[0] >> 52) + 2048), *x))
+    at, begin, want, seen = 0, {}, [], Counter()
+    for x in laid:
+        begin.setdefault(x[:2], at)
+        middle = 2 * at + x[4] if x[:2] in first else 2 * begin[x[:2]] + size[x[:2]]
+        shard = min(middle * shards // (2 * total), shards - 1)
+        want.append((x[3], x[4], x[1], shard, seen[shard]))
+        seen[shard] += 1
+        at += x[4]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    of = {}
+    for (_, t), group in ((r, xxh(r[1] or "")) for r in rows):
+        of.setdefault(group, set())
+    by_text = {}
+    text_of = {}
+    for i, t in rows:
+        text_of.setdefault(i, set()).add(t or "")
+    for r in got.collect():
+        if len(text_of[r.doc_id]) == 1 and (t := next(iter(text_of[r.doc_id]))) != "one text":
+            by_text.setdefault(t, set()).add(r.shard)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_quality_verdict(spark):
+    """The emitted expression says of every row what its rules say, and the rules hold on labelled rows not learned from."""
+    real, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    stats = quality.statistics(real).cache()
+    rules = quality.fit(stats, labels.filter("doc_id % 2 = 0"))
+    names = list(quality.FEATURES)
+    rows = stats.withColumn("kept", quality.verdict(rules)).collect()
+    value = lambda r, f: r[quality.FEATURES[f][0]] / max(r[quality.FEATURES[f][1]], 1)
+    for r in rows:
+        assert r.kept == (not any(all((value(r, names[f]) > t) == over for f, over, t in rule) for rule in rules))
+    kept = {r.doc_id: r.kept for r in rows}
+    held = [(kept[r.doc_id], r.quality) for r in labels.filter("doc_id % 2 = 1 and quality is not null").collect() if r.doc_id in kept]
+    assert sum(k == (q == 1) for k, q in held) > 0.98 * len(held)
+
+
+def test_clashing_names(spark):
+    """Columns called like an operator's own come through as they are."""
+    names = ["near_text", "near_row", "near_copies", "mix_sk", "mix_h", "mix_full", "mix_edge", "mix_copy", "mix_rows", "secret_id", "secret_hash", "secret_masks", "n", "v", "k", "root", "rows", "label", "fp", "least"]
+    rows = [(i % 23, prose(i % 20, 30), f"s{i % 3}", "de", *[f"{c}{i}" for c in names]) for i in range(40)] + [(None, None, None, None, *names)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, " + ", ".join(f"{c} string" for c in names))
+    every = {tuple(r) for r in table.collect()}
+    for f in (simhash.drop_near_duplicates, secrets.redact, mixing.repeat_documents, lambda t: langid.keep_identified(t, langid.fit(t)), lambda t: langid.keep_identified(t, None)):
+        got = f(table)
+        assert got.columns == table.columns and set(map(tuple, got.collect())) <= every and f(table.limit(0)).count() == 0
+    for f in (mixing.mix, sharding.shard, secrets.scan, lcp.compare_edited, simhash.near_duplicates, lambda t: langid.predict(t, None), lambda t: bpe.encode(t, path(), public_tokenizers.PATTERN)):
+        assert f(table).count() == 42
+    assert {r.lang for r in langid.keep_identified(table.withColumn("lang", F.lit(None).cast("string")), langid.fit(table)).collect()} == {"de"}
+
+
+def plain_pipeline(rows, encoding):
+    """The rows (doc_id, text, lang, source, n_chars) through all stages, by loops."""
+    rows = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            group[i] = min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 3)
+    best = {}
+    for r, g in zip(rows, group):
+        key = (r[0] is None, r[0] or 0, xxh(r[1]))
+        if g not in best or key < best[g][0]:
+            best[g] = (key, r)
+    rows = [r for _, r in best.values()]
+    clean = []
+    for r, w in zip(rows, plain_scan([(r[0], r[1], r[3]) for r in rows])):
+        out, end = "", 0
+        for a, b, _, _ in w:
+            if a >= end:
+                out += r[1][end:a] + "[SECRET]"
+            end = max(end, b)
+        clean.append((r[0], out + r[1][end:], r[3]))
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t, _ in clean]
+    h = [hashlib.md5(f"7:{i if i is not None else 'null:' + hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for i, t, _ in clean]
+    sources = sorted({s for _, _, s in clean}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, clean) if r[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, left = dict.fromkeys(sources, 0.0), 1.5 * sum(size)
+    while left > 1e-6:
+        free = [s for s in sources if target[s] < 2 * total[s]]
+        part = left / sum(weight[s] for s in free)
+        for s in free:
+            target[s] = min(2 * total[s], target[s] + part * weight[s])
+        left = 1.5 * sum(size) - sum(target.values())
+    out = []
+    for s in sources:
+        full = int(target[s] // total[s]) if total[s] else 0
+        rest = int(target[s] + 0.5) - full * total[s]
+        own = sorted((h[i], i) for i in range(len(clean)) if clean[i][2] == s)
+        edge, ahead = "", 0
+        for x, i in own:
+            if 2 * max(0, min(size[i], rest - ahead)) >= max(size[i], 1):
+                edge = x
+            ahead += size[i]
+        for x, i in own:
+            ids = encoding.encode_ordinary(clean[i][1])
+            text = clean[i][1].encode()
+            out += [(clean[i][0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest())] * (full + (x <= edge))
+    return out
+
+
+def test_pipeline(spark, encoding, tmp_path):
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert out and set(out[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "secret_scan", "mix", "tokenize"]
+    key = "Qx81Kd02Lm93Nb74Vc65Zz"
+    rows = [(i, prose(i, 30 + i) + (f" token={key} " if i % 4 == 0 else f" {key}x " if i == 5 else ""), "de" if i % 2 else None, f"s{i % 4}" if i % 7 else None, 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1], "de", "s9", 2) for i in range(9)] + [(200, rows[59][1].replace("the", "The"), "de", "s1", 1)]  # exact copies
+    rows += [(3, prose(300, 80), "de", "s1", 1), (None, prose(301, 50), None, "s2", 1), (None, prose(302, 50), "de", None, 1), (None, prose(302, 50), "de", None, 1)]
+    rows += [(400, None, "de", "s1", 0), (401, "", "de", "s1", 0), (402, "12 34 !", "de", "s1", 0), (403, prose(303, 5000), "de", "s1", 0), (404, "a", "de", "s0", 1), rows[8], rows[8]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, some in (("all", table), ("none", table.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        want = plain_pipeline(rows, encoding) if name == "all" else []
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    docs = spark.read.parquet(f"{tmp_path}/all/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name
