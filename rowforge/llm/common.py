@@ -30,21 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone already; the folder is scratch
-        pass
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    def last() -> None:
+        try:
+            forget(spark, path)
+        except Exception:  # the session is gone already; the folder is scratch
+            pass
+
+    atexit.register(last)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowforge/{label}-{uuid.uuid4().hex}"
+    forget_at_exit(spark, path)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
