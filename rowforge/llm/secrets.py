@@ -125,8 +125,8 @@ def report(scanned: DataFrame) -> DataFrame:
     )
 
 
-#: Code points of a text that are masked at once.
-CHUNK = 4096
+#: Code points of a text that are masked at once, and how many spans are sent to the rows; more are met by a join.
+CHUNK, SENT_SPANS = 4096, 100_000
 
 
 def redact(
@@ -143,7 +143,8 @@ def redact(
     """``docs`` with every span of :func:`scan` (those that overlap as one) replaced by ``mask`` and ``length_col``, if
     there, brought up to date. Nulls, empty texts, repeated rows and empty tables are as there.
 
-    Rows without a match come through as they are, without a shuffle; the others meet their spans by id and text.
+    Rows without a match come through as they are, without a shuffle; the others meet their spans by id and text, which
+    are sent to them if they are SENT_SPANS at most.
     """
     rows, spans = _judged(docs, max_owners, id_col, text_col, owner_col, repository_col, max_repositories)
     in_order = Window.partitionBy("n").orderBy("at", "to")
@@ -153,14 +154,9 @@ def redact(
     masks = apart.groupBy("n", "g").agg(F.min("at").alias("at"), F.max("to").alias("to")).groupBy("n").agg(F.array_sort(F.collect_list(F.struct("at", "to"))).alias("masks"))
     of_id, of_hash, masked = fresh(docs, "secret_id", "secret_hash", "secret_masks")
     masks = rows.join(masks, "n").select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("masks").alias(masked))
-    masks = cut(masks.dropDuplicates([of_id, of_hash]), "secrets-found")  # equal for equal texts of one id
+    masks = cut(masks.dropDuplicates([of_id, of_hash]).withColumnRenamed(of_hash, f"{of_hash}_"), "secrets-found")  # equal for equal texts of one id
 
     text, span = F.col(text_col), F.col(masked)
-    some = F.lit(False)
-    for kind, pattern, _, _ in (*RULES, ("live", TOKEN, 0, 20)):
-        some = some | text.rlike(FASTER.get(kind, pattern))
-    some = F.coalesce(some, F.lit(False))
-
     def cleaned(chunk: Column, i: Column) -> Column:
         lo = i * CHUNK
         return F.aggregate(
@@ -175,12 +171,20 @@ def redact(
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     clean = F.when(span.isNull(), text).otherwise(F.array_join(F.transform(pieces, cleaned), ""))
-    own = docs.filter(some).withColumn(of_hash, F.xxhash64(text))
-    met = own.join(masks.withColumnRenamed(of_hash, f"{of_hash}_"), F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(of_hash) == F.col(f"{of_hash}_")), "left")
-    met = met.withColumn(text_col, clean)
-    if length_col in docs.columns:
-        met = met.withColumn(length_col, F.when(span.isNull(), F.col(length_col)).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))
-    return docs.filter(~some).unionByName(met.select(*docs.columns))
+    def met(own: DataFrame, masks: DataFrame) -> DataFrame:
+        own = own.withColumn(of_hash, F.xxhash64(text))
+        own = own.join(masks, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(of_hash) == F.col(f"{of_hash}_")), "left").withColumn(text_col, clean)
+        if length_col in docs.columns:
+            own = own.withColumn(length_col, F.when(span.isNull(), F.col(length_col)).otherwise(F.length(text)).cast(docs.schema[length_col].dataType))
+        return own.select(*docs.columns)
+
+    if (masks.agg(F.sum(F.size(masked))).first()[0] or 0) <= SENT_SPANS:
+        return met(docs, F.broadcast(masks))
+    some = F.lit(False)
+    for kind, pattern, _, _ in (*RULES, ("live", TOKEN, 0, 20)):
+        some = some | text.rlike(FASTER.get(kind, pattern))
+    some = F.coalesce(some, F.lit(False))
+    return docs.filter(~some).unionByName(met(docs.filter(some), masks))
 
 
 def oracle_sql(max_owners: int = 2, max_repositories: int = 10) -> str:
