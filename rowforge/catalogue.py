@@ -30,7 +30,7 @@ def dl(spark, d) -> LineFrame:
 
 
 def ev(spark, d) -> LineFrame:
-    return from_table(_read(spark, d, "events"), [F.col("event_id"), F.col("user_id"), F.col("event_type"), _money("value")], ",", ["event_id"])
+    return from_table(_read(spark, d, "events"), [F.col("event_id"), F.col("user_id"), F.col("event_type"), _money("value")], ",", ["event_id"], unique=True)
 
 
 def li(spark, d) -> LineFrame:
@@ -40,11 +40,11 @@ def li(spark, d) -> LineFrame:
 
 def cv(spark, d) -> LineFrame:
     text = F.concat(F.lit('"'), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return from_table(_read(spark, d, "conversations"), [F.col("conv_id"), F.col("turn"), F.col("role"), text], ",", ["conv_id", "turn"])
+    return from_table(_read(spark, d, "conversations"), [F.col("conv_id"), F.col("turn"), F.col("role"), text], ",", ["conv_id", "turn"], unique=True)
 
 
 def su(spark, d) -> LineFrame:
-    return from_table(_read(spark, d, "supplier"), [F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey"), _money("s_acctbal")], ";", ["s_suppkey"])
+    return from_table(_read(spark, d, "supplier"), [F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey"), _money("s_acctbal")], ";", ["s_suppkey"], unique=True)
 
 
 TABLES = {
@@ -177,7 +177,7 @@ def multi_file_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two inputs in a row, numbered through."""
     a = _read(spark, sf_dir, "region").select(F.lit(0).alias("f"), F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
     b = _read(spark, sf_dir, "nation").select(F.lit(1).alias("f"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    lines = from_table(a.unionByName(b), [F.col("k"), F.col("name")], ",", ["f", "k"])
+    lines = from_table(a.unionByName(b), [F.col("k"), F.col("name")], ",", ["f", "k"], unique=True)
     return plan(TextJob(), lines).to_table()
 
 

@@ -30,10 +30,17 @@ def squeeze(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Words are runs of letters and numbers; each character is mapped by itself."""
+    """Words are runs of letters and numbers; each character is mapped by itself.
+
+    Only a capital sigma's small letter depends on what is around it, so without one a word's rest is mapped at once.
+    """
     runs = F.regexp_extract_all(c, F.lit(f"{WORD}+|[^\\p{{IsAlphabetic}}\\p{{N}}]+"), F.lit(0))
-    rest = lambda t: F.array_join(F.transform(F.split(F.substr(t, F.lit(2)), ""), F.lower), "")
-    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike(f"^{WORD}"), F.concat(F.upper(F.substr(t, F.lit(1), F.lit(1))), rest(t))).otherwise(t)), "")
+    each = lambda t: F.array_join(F.transform(F.split(t, ""), F.lower), "")
+
+    def cased(rest):
+        return F.array_join(F.transform(runs, lambda t: F.concat(F.upper(F.substr(t, F.lit(1), F.lit(1))), rest(F.substr(t, F.lit(2))))), "")
+
+    return F.when(c.contains("\u03a3"), cased(each)).otherwise(cased(F.lower))
 
 
 def number(c: Column) -> Column:
@@ -57,8 +64,7 @@ def replace(find: str, by: str, ignore_case: bool = False, regex: bool = False):
 
 def wrap(c: Column, width: int) -> Column:
     """Chunks of ``width`` code points; an empty text is one empty chunk."""
-    last = F.greatest(F.ceil(F.length(c) / width).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(c, i * width + 1, F.lit(width)))
+    return F.when(c == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
 
 
 def split_literal(c: Column, separator: str) -> Column:

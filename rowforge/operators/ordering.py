@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many rows one task numbers them; beyond, ranges of the order are numbered apart.
+from .scratch import cut
+
+#: Up to so many rows one task numbers them; beyond, Spark's range partitions are numbered apart.
 ONE_TASK = 200_000
-#: A range's rows, about.
-PER_RANGE = 500_000
+#: About so many rows go into a range.
+PER_RANGE = 2_000_000
 Order = list[tuple[str, bool]]  # columns, each with True for descending
 
 
@@ -17,43 +19,23 @@ def sort_columns(order: Order) -> list[Column]:
     return [F.desc_nulls_last(c) if desc else F.asc_nulls_first(c) for c, desc in order]
 
 
-def _before(order: Order, bound: tuple) -> Column:
-    """Whether a row comes before the bound."""
-    (name, desc), value, c = order[0], bound[0], F.col(order[0][0])
-    if desc:
-        less = c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False))
-    else:
-        less = F.lit(False) if value is None else c.isNull() | F.coalesce(c < F.lit(value), F.lit(False))
-    if len(order) == 1:
-        return less
-    return less | (c.eqNullSafe(F.lit(value)) & _before(order[1:], bound[1:]))
-
-
-def _place(order: Order, bounds: list[tuple], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_before(order, bounds[mid]), _place(order, bounds, lo, mid)).otherwise(_place(order, bounds, mid + 1, hi))
-
-
 def positions(df: DataFrame, order: Order, name: str = "pos", total: int | None = None, one_task: int = ONE_TASK, per_range: int = PER_RANGE) -> DataFrame:
     """``df`` with the dense position, from 1, of each row in a total order.
 
-    Larger inputs are cut at bounds drawn from a sample of the whole sort key, ties included, so that a key which
-    many rows share is cut too; the ranges' counts give each range its offset.
+    Larger inputs are range-partitioned by the whole sort key, ties included, so that a key which many rows share is
+    cut too, and sorted and written once; a row's place in its partition and the counts of the partitions before give its
+    position. There are as many ranges as the rows ask for, and one number of each is broadcast.
     """
     total = df.count() if total is None else total
     if total <= one_task:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*sort_columns(order))).cast("long"))
-    names = [c for c, _ in order]
-    ranges = min(256, max(2, total // per_range + 1))
-    sample = df.select(*names).orderBy(F.xxhash64(*names)).limit(40 * ranges)
-    rows = sample.orderBy(*sort_columns(order)).collect()  # at most 40 for each range
-    bounds = [tuple(rows[i * len(rows) // ranges]) for i in range(1, ranges)]
-    placed = df.withColumn("__range", _place(order, bounds, 0, len(bounds)))
-    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    own = Window.partitionBy("__range").orderBy(*sort_columns(order))
-    placed = placed.withColumn(name, F.row_number().over(own).cast("long")).join(F.broadcast(offsets), "__range")
-    return placed.withColumn(name, F.col(name) + F.col("__offset")).drop("__range", "__offset")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // per_range + 1)
+    laid = df.repartitionByRange(ranges, *sort_columns(order)).sortWithinPartitions(*sort_columns(order))
+    # the partition's number in the upper 31 bits, the row's place in it in the lower 33
+    laid = cut(laid.withColumn("__at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = laid.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    placed = laid.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__offset", "__at")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import regexes, text
 from ..operators.ordering import Order, positions, sort_columns
@@ -19,19 +20,22 @@ VALUES = ("sum", "avg", "min", "max")
 @dataclass
 class Result:
     """``rows`` in the order of ``order``; ``summary`` names the value columns of a summary. ``matched`` has the
-    rows that the job worked on."""
+    rows that the job worked on. ``dense``: the order is the rows' number from 1."""
 
     rows: DataFrame
     order: Order
     matched: DataFrame
     summary: tuple[str, ...] = ()
     separator: str = "\t"
+    dense: bool = False
 
     def to_table(self) -> DataFrame:
         """``pos`` with ``content``, or with the typed summary; a summary over all rows is one row without pos."""
         if self.summary and not self.order:
             return self.rows
         columns = self.summary or ("content",)
+        if self.dense:
+            return self.rows.select(F.col(self.order[0][0]).cast("long").alias("pos"), *columns)
         return positions(self.rows, self.order, "pos").select("pos", *columns)
 
     def to_text(self) -> DataFrame:
@@ -114,48 +118,59 @@ def aggregates(job: TextJob) -> list[Column]:
 
 
 def plan(job: TextJob, lines: LineFrame) -> Result:
-    """Nothing runs but the count of rows where a range is counted from the end, or positions are asked for."""
+    """Nothing runs but what numbers rows: for ranges of rows, error messages, numbering, and edits in a new order."""
     job.validate()
-    df, total = lines.df, lines._total
+    edit = job.delete and job.cols is not None
+    moves = job.sort or job.tac or job.shuffle
+    if job.rows is not None or lines.validate or (edit and moves):
+        lines = lines.numbered()
+    df, total, dense = lines.df, lines._total, lines.dense
     in_rows, matches = _selected(job, lines)
     if lines.validate and not (job.delete and job.cols is None and job.grep is None):
         bad = F.raise_error(F.concat(F.lit("invalid UTF-8 in line "), F.col("row_no").cast("string")))
         df = df.withColumn("content", F.when(in_rows & ~F.is_valid_utf8("content"), bad.cast("string")).otherwise(F.col("content")))
     on = in_rows & matches
     matched = df.filter(on)
-    edit = job.delete and job.cols is not None
+    order: Order = list(lines.order)
     if job.delete and not edit:
-        return Result(df.filter(~on), [("row_no", False)], matched)
-    order: Order = [("row_no", False)]
+        return Result(df.filter(~on), order, matched)
     if edit:
         df = df.withColumn("on", on).withColumn("content", F.when(F.col("on"), _rewritten(job, F.col("content"))).otherwise(F.col("content")))
     else:
-        df = df.filter(on).withColumn("content", _rewritten(job, F.col("content")))
         if job.rows is not None or job.grep is not None:
-            total = None
+            df, total, dense = df.filter(on), None, False
+        df = df.withColumn("content", _rewritten(job, F.col("content")))
     for name, pieces in (("split_pos", job.split_on and text.split_literal(F.col("content"), job.split_on)), ("wrap_pos", job.wrap and text.wrap(F.col("content"), job.wrap))):
         if pieces is not None:
             n = "terminator"
             size = F.size("pieces")
             df = df.withColumn("pieces", pieces).select(*[c for c in df.columns if c not in ("content", n)], "terminator", size.alias("n_pieces"), F.posexplode("pieces").alias(name, "content"))
             df = df.withColumn(n, F.when((F.col(name) < F.col("n_pieces") - 1) & (F.col(n) == ""), "\n").otherwise(F.col(n))).drop("n_pieces")
-            order, total = [*order, (name, False)], None
+            order, total, dense = [*order, (name, False)], None, False
     if job.drop_empty:
-        df, total = df.filter("content != ''"), None
+        df, total, dense = df.filter("content != ''"), None, False
     if job.number:
         df = positions(df, order, "nth", total)
-        df = df.withColumn("content", F.concat(F.col("nth").cast("string"), F.lit(job.separator), F.col("content"))).drop("nth")
+        df = df.withColumn("content", F.concat(F.col("nth").cast("string"), F.lit(job.separator), F.col("content")))
+        order, dense = [("nth", False)], True
     df, order = _reordered(job, df, order, edit)
+    dense = dense and not moves
     if job.unique:
         spec = job.unique_key if job.unique_key is not None else job.cols
         key = F.col("content") if spec is None else job.span(spec).read(F.col("content"))
-        first = F.row_number().over(Window.partitionBy("unique_key").orderBy(*sort_columns(order)))
-        df = df.withColumn("unique_key", key).withColumn("nth", first).filter("nth = 1").drop("nth")
+        dense = False
+        if job.summary and job.group_by is None and all(getattr(job, n) is None for n in VALUES):
+            df = df.select(key.alias("key")).distinct()  # only their number matters
+        else:  # the first row of each key, found before rows are shuffled
+            df, order = _rising(df, order)
+            first = F.struct(*[_sortable(c, desc) for c, desc in order])
+            rest = [c for c in df.columns]
+            df = df.withColumn("unique_key", key).groupBy("unique_key").agg(F.min_by(F.struct(*rest), first).alias("row")).select("row.*")
     if job.join is not None:
         line = F.struct(*[_sortable(c, desc) for c, desc in order], F.col("content"))
         df = df.agg(F.array_sort(F.collect_list(line)).alias("all")).filter(F.size("all") > 0)
         df = df.select(F.array_join(F.transform("all", lambda x: x["content"]), job.join).alias("content"), F.lit("\n").alias("terminator"), F.lit(1).alias("row_no"))
-        return Result(df, [("row_no", False)], matched)
+        return Result(df, [("row_no", False)], matched, dense=True)
     if job.summary:
         names = tuple(n for n in ("count", *VALUES) if (job.count if n == "count" else getattr(job, n) is not None))
         if job.group_by is None:
@@ -163,7 +178,7 @@ def plan(job: TextJob, lines: LineFrame) -> Result:
         firsts = F.min(F.struct(*[_sortable(c, desc).alias(c) for c, desc in order])).alias("first_seen")
         df = df.withColumn("key", job.span(job.group_by).read(F.col("content"))).groupBy("key").agg(*aggregates(job), firsts)
         return Result(df, [("first_seen", False)], matched, ("key", *names), job.separator)
-    return Result(df, order, matched)
+    return Result(df, order, matched, dense=dense)
 
 
 def _sortable(name: str, desc: bool) -> Column:
@@ -171,6 +186,14 @@ def _sortable(name: str, desc: bool) -> Column:
     return -F.col(name) if desc else F.col(name)
 
 
+def _rising(df: DataFrame, order: Order) -> tuple[DataFrame, Order]:
+    """The rows with an order whose descending columns, if any, are numbers and never null."""
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and not f.nullable}
+    if all(c in numbers for c, desc in order if desc):
+        return df, order
+    return positions(df, order, "out_pos"), [("out_pos", False)]
+
+
 def _reordered(job: TextJob, df: DataFrame, order: Order, edit: bool) -> tuple[DataFrame, Order]:
     if not (job.sort or job.tac or job.shuffle):
         return df, order
@@ -191,10 +214,7 @@ def _reordered(job: TextJob, df: DataFrame, order: Order, edit: bool) -> tuple[D
         mixed = F.rand() if job.seed is None else F.xxhash64(*[F.col(c) for c in names], F.lit(job.seed))
         df, keys = df.withColumn("mixed", mixed), [("mixed", False), *order]
     if not edit:
-        needs_rank = (job.join is not None or job.group_by is not None) and any(d for _, d in keys)
-        if needs_rank:  # a number that sorts as the keys do
-            return positions(df, keys, "out_pos"), [("out_pos", False)]
-        return df, keys
+        return _rising(df, keys) if job.join is not None or job.group_by is not None else (df, keys)
     # A run of edited rows is reordered in place: its number is that of the kept rows before it.
     on, kept = df.filter("on"), df.filter(~F.col("on"))
     on = positions(on, [("row_no", False)], "nth").withColumn("run", F.col("row_no") - F.col("nth")).drop("nth")

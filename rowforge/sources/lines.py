@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import OpenInput
-from ..operators.ordering import positions
+from ..operators.ordering import Order, positions
 
 
 @dataclass
 class LineFrame:
-    """Lines: ``row_no`` (dense, from 1), ``content``, ``terminator``. ``validate`` asks for a UTF-8 check of
-    the lines that a job works on."""
+    """Lines: ``content``, ``terminator``, and the columns of their total order. Where that is ``row_no`` alone, it is the
+    line's number, dense from 1. ``validate`` asks for a UTF-8 check of the lines that a job works on."""
 
     df: DataFrame
     validate: bool = False
     _total: int | None = None
+    order: Order = field(default_factory=lambda: [("row_no", False)])
 
     @property
     def total(self) -> int:
@@ -27,22 +28,31 @@ class LineFrame:
             self._total = self.df.count()
         return self._total
 
+    @property
+    def dense(self) -> bool:
+        return self.order == [("row_no", False)]
+
+    def numbered(self) -> LineFrame:
+        """The lines with their numbers. Most jobs need none: an order is enough."""
+        if self.dense:
+            return self
+        df = positions(self.df, self.order, "row_no", self.total).select("row_no", "content", "terminator")
+        return LineFrame(df, self.validate, self.total)
+
 
 def from_column(df: DataFrame, column: str, order_by: list[str]) -> LineFrame:
     """The lines of a text column, rows in the order of unique columns; a null text has none."""
     lines = df.select(*order_by, F.posexplode(F.split(F.col(column), "\n", -1)).alias("__i", "content"))
-    total = lines.count()
-    numbered = positions(lines, [*[(c, False) for c in order_by], ("__i", False)], "row_no", total)
-    return LineFrame(numbered.select("row_no", "content", F.lit("\n").alias("terminator")), _total=total)
+    return LineFrame(lines.withColumn("terminator", F.lit("\n")), order=[*((c, False) for c in order_by), ("__i", False)])
 
 
-def from_table(df: DataFrame, columns: list[Column], delimiter: str, order_by: list[str]) -> LineFrame:
-    """A line for each row: the columns' texts joined; ties in the order go by the line. Null reads as empty."""
+def from_table(df: DataFrame, columns: list[Column], delimiter: str, order_by: list[str], unique: bool = False) -> LineFrame:
+    """A line for each row: the columns' texts joined; unless the order is said to be unique, ties go by the line. Null
+    reads as empty."""
     content = F.concat_ws(delimiter, *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    lines = df.select(*order_by, content.alias("content"))
-    total = df.count()
-    numbered = positions(lines, [*[(c, False) for c in order_by], ("content", False)], "row_no", total)
-    return LineFrame(numbered.select("row_no", "content", F.lit("\n").alias("terminator")), _total=total)
+    lines = df.select(*order_by, content.alias("content"), F.lit("\n").alias("terminator"))
+    order = [(c, False) for c in order_by]
+    return LineFrame(lines, order=order) if unique else LineFrame(lines.withColumn("__line", F.col("content")), order=[*order, ("__line", False)])
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str]) -> LineFrame:
