@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import cut, forget, forget_at_exit, shared_dir  # noqa: F401  for the operators and the pipeline
+
 #: White space between words: space and U+0009 to U+000D (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 WS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local mode, where that is unset, one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="rowforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    def last() -> None:
-        try:
-            forget(spark, path)
-        except Exception:  # the session is gone already; the folder is scratch
-            pass
-
-    atexit.register(last)
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rowforge/{label}-{uuid.uuid4().hex}"
-    forget_at_exit(spark, path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column of ``df`` is called so (case does not tell columns apart)."""
     taken, out = {c.lower() for c in df.columns}, []
