@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import os
-import re
 import sys
 
 from .errors import InvalidArguments, RowforgeError
@@ -57,7 +56,7 @@ def main(argv: list[str] | None = None, spark=None, stdin=None, stdout=None) ->
 
         from .plans.planner import plan
         from .sources import sinks
-        from .sources.lines import from_files, from_lines
+        from .sources.lines import from_files, staged
 
         spark = spark or SparkSession.builder.getOrCreate()
         if args.in_place and args.dry_run:
@@ -67,25 +66,27 @@ def main(argv: list[str] | None = None, spark=None, stdin=None, stdout=None) ->
         if args.in_place:
             return sinks.exit_code(job, sinks.edit_in_place(spark, job, args.files, args.backup))
         files = args.files or ["-"]
-        if "-" in files:  # standard input among files: all bytes in a row, as they come
-            held = b"".join(stdin.read() if f == "-" else open(f, "rb").read() for f in files).decode("utf-8")
-            lines = from_lines(spark, (x for x in re.findall(r"[^\n]*\n|[^\n]+", held)))
-        else:
-            lines = from_files(spark, files)
-        result = plan(job, lines)
+        # standard input goes to a file as it comes; a second mention of it has nothing more to give
+        paths = [staged(spark, stdin) if f == "-" else f for f in files]
+        result = plan(job, from_files(spark, paths))
+        some = False
         if args.output:
             sinks.write_file(result, args.output, [f for f in files if f != "-"])
         elif not job.quiet:
             for chunk in sinks.chunks(result):
                 stdout.write(chunk)
+                some = True
             stdout.flush()
-        return sinks.exit_code(job, job.grep is None or result.any_match())
+        # whatever comes out of a grep that keeps its matches is one
+        some = some and not job.delete and not job.summary and job.join is None
+        return sinks.exit_code(job, job.grep is None or some or sinks.any_match(result))
     except BrokenPipeError:
-        os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
+        if stdout is sys.stdout.buffer:
+            os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
         return 0
     except SystemExit as e:
         return int(e.code or 0)
-    except (RowforgeError, OSError, UnicodeDecodeError) as e:
+    except (RowforgeError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

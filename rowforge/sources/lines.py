@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import OpenInput
 from ..operators.ordering import Order, positions
+from ..operators.scratch import forget_at_exit, shared_dir
 
 
 @dataclass
@@ -56,7 +58,7 @@ def from_table(df: DataFrame, columns: list[Column], delimiter: str, order_by: l
 
 
 def from_lines(spark: SparkSession, lines: Iterable[str]) -> LineFrame:
-    """Lines at hand, such as standard input; each with its terminator or without."""
+    """Lines at hand; each with its terminator or without."""
     rows = []
     for i, line in enumerate(lines, 1):
         end = "\r\n" if line.endswith("\r\n") else "\n" if line.endswith("\n") else ""
@@ -82,6 +84,21 @@ def _ends(spark: SparkSession, path: str) -> tuple[int, bool]:
         with_stream.close()
 
 
+def staged(spark: SparkSession, stream, step: int = 1 << 20) -> str:
+    """Copies a stream of bytes, such as standard input, to a file in the shared folder, a part at a time; its path."""
+    path = f"{shared_dir(spark)}/rowforge/input-{uuid.uuid4().hex}"
+    forget_at_exit(spark, path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        while part := stream.read(step):
+            out.write(bytearray(part))
+    finally:
+        out.close()
+    return path
+
+
 def from_files(spark: SparkSession, paths: list[str]) -> LineFrame:
     """Files one after the other, byte by byte: a last line without a line feed goes on in the next file."""
     ends = [_ends(spark, p) for p in paths]
