@@ -6,12 +6,17 @@ quoted fields) and supplier (SU). ``pos`` is a row's place in the output.
 
 from __future__ import annotations
 
+import io
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.scratch import forget_at_exit, shared_dir
 from .plans.options import TextJob
 from .plans.planner import Result, plan
-from .sources.lines import LineFrame, from_column, from_table
+from .sources.lines import LineFrame, from_column, from_files, from_table, staged
+from .sources.sinks import write_parts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,14 +52,38 @@ def su(spark, d) -> LineFrame:
     return from_table(_read(spark, d, "supplier"), [F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey"), _money("s_acctbal")], ";", ["s_suppkey"], unique=True)
 
 
+def files(spark, d) -> LineFrame:
+    """The lines of EV written as text files, in order by name, and read again."""
+    at = f"{shared_dir(spark)}/rowforge/catalogue-{uuid.uuid4().hex}"
+    forget_at_exit(spark, at)
+    write_parts(plan(TextJob(), ev(spark, d)), at)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(at)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return from_files(spark, sorted(x for x in (f.getPath().toString() for f in found) if "/part-" in x))
+
+
+def joined_files(spark, d) -> LineFrame:
+    """Two files of a few lines each, the first without a line feed at its end, the second with CR LF."""
+    rows = _read(spark, d, "region").orderBy("r_regionkey").collect()  # 5 rows at every size
+    first = "\n".join(f"{r.r_regionkey},{r.r_name}" for r in rows)
+    second = "".join(f"{r.r_name};{r.r_regionkey}\r\n" for r in rows)
+    return from_files(spark, [staged(spark, io.BytesIO(x.encode())) for x in (first, second)])
+
+
 TABLES = {
+    "joined_files": """joined_files AS (SELECT row_number() OVER (ORDER BY f, i) AS row_no, content FROM (
+        SELECT 0 AS f, r_regionkey AS i, r_regionkey || ',' || r_name AS content FROM region WHERE r_regionkey < (SELECT max(r_regionkey) FROM region)
+        UNION ALL SELECT 1, 0, (SELECT max_by(r_regionkey || ',' || r_name, r_regionkey) FROM region) || (SELECT min_by(r_name || ';' || r_regionkey, r_regionkey) FROM region)
+        UNION ALL SELECT 2, r_regionkey, r_name || ';' || r_regionkey FROM region WHERE r_regionkey > (SELECT min(r_regionkey) FROM region)))""",
     "dl": "dl AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS row_no, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))",
     "ev": "ev AS (SELECT row_number() OVER (ORDER BY event_id) AS row_no, event_id || ',' || user_id || ',' || event_type || ',' || value::DECIMAL(18,2) AS content FROM events)",
     "li": "li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, content) AS row_no, content FROM (SELECT l_orderkey, l_linenumber, l_orderkey || ',' || l_linenumber || ',' || l_returnflag || ',' || l_linestatus || ',' || l_quantity::DECIMAL(18,2) || ',' || l_extendedprice::DECIMAL(18,2) AS content FROM lineitem))",
     "cv": """cv AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS row_no, conv_id || ',' || turn || ',' || role || ',"' || replace(replace(text, chr(10), ' '), '"', '""') || '"' AS content FROM conversations)""",
     "su": "su AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS row_no, s_suppkey || ';' || s_name || ';' || s_nationkey || ';' || s_acctbal::DECIMAL(18,2) AS content FROM supplier)",
 }
-SOURCES = {"dl": dl, "ev": ev, "li": li, "cv": cv, "su": su}
+TABLES["files"] = TABLES["ev"]
+SOURCES = {"dl": dl, "ev": ev, "li": li, "cv": cv, "su": su, "files": files, "joined_files": joined_files}
 
 
 def add(name: str, lines: str, sql: str | None, table=None, **options) -> None:
@@ -79,6 +108,12 @@ F_ = "string_split(content, ',')"
 #: The grammar of numbers, for DuckDB.
 NUM = "CASE WHEN regexp_full_match({0}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({0} AS DOUBLE) END"
 
+# files
+add("file_lines", "files", rows_sql("ev"))
+add("file_rows_grep", "files", rows_sql("ev", where="row_no BETWEEN 100 AND 900 AND regexp_matches(content, '7')"), grep="7", rows="100-900")
+add("file_end_relative", "files", rows_sql("ev", where="row_no > (SELECT count(*) FROM ev) - 10"), rows="~10-~1")
+add("file_concat_bytes", "joined_files", rows_sql("joined_files"))
+add("file_concat_sort", "joined_files", rows_sql("joined_files", order="content, row_no"), sort=True)
 # rows
 add("rows_range", "dl", rows_sql("dl", where="row_no BETWEEN 20 AND 500"), rows="20-500")
 add("rows_list", "dl", rows_sql("dl", where="row_no BETWEEN 5 AND 30 OR row_no BETWEEN 40 AND 50 OR row_no = 3"), rows="40-50,5-20,15-30,3")
@@ -152,7 +187,7 @@ add("count_zero", "dl", "SELECT count(*) AS count FROM dl WHERE content = 'no su
 
 
 def rounded(result: Result) -> DataFrame:
-    """Averages and sums to 6 places: their last digits depend on the order of addition."""
+    """Averages and sums to 4 places: their last digits depend on the order of addition."""
     table = result.to_table()
     return table.select(*[F.round(c, 4).alias(c) if c in ("sum", "avg") else F.col(c) for c in table.columns])
 
