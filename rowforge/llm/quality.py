@@ -169,13 +169,15 @@ def learn(x: np.ndarray, poor: np.ndarray, most_rules: int = 24, most_conditions
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> list:
-    """The rules learned from statistics (``doc_id``, COUNTS) of labelled rows (``doc_id``, ``quality`` 0 for poor)."""
+    """The rules learned from statistics (``doc_id``, COUNTS) of labelled rows (``doc_id``, ``quality`` 0 for poor);
+    of rows that repeat an id, the least."""
     n = labels.count()
     some = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     if n > FIT_ROWS:
         some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * FIT_ROWS / n))
     some = some.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(F.broadcast(some), "doc_id").select("doc_id", "quality", *[feature(f).alias(f) for f in FEATURES]).collect()
+    rows = stats.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*[feature(f).alias(f) for f in FEATURES])).alias("x"))
+    rows = rows.select("doc_id", "quality", "x.*").collect()  # one row for each id
     rows = sorted(rows, key=lambda r: (r[0] * 2654435761 % (1 << 32), *r[1:]))
     if not rows:
         return []

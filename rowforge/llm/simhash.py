@@ -123,10 +123,14 @@ def links(group: np.ndarray, fp: np.ndarray, radius: int = 3, step: int = 1 << 1
     return labels
 
 
+#: Distinct fingerprints beyond which keys are of three blocks of more, and so shared by fewer; links are the same.
+WIDE = 1 << 24
+
+
 def _keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """For each table, the (shift, width) parts of its key."""
     cut_up = lambda k: [(64 * i // k, 64 * (i + 1) // k - 64 * i // k) for i in range(k)]
-    if n <= 1 << 24:
+    if n <= WIDE:
         return [[part] for part in cut_up(radius + 1)]
     return [list(parts) for parts in combinations(cut_up(radius + 3), 3)]
 

@@ -350,7 +350,7 @@ def test_lcp(docs, empty, spark, monkeypatch):
     assert lcp.likeness(a, b) > 0.9
 
 
-def test_simhash(docs, empty, spark):
+def test_simhash(docs, empty, spark, monkeypatch):
     import xxhash
 
     def brute(t):
@@ -378,9 +378,11 @@ def test_simhash(docs, empty, spark):
     x, y = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
     labels = simhash.find_roots(np.arange(len(f)), x, y)
     df = spark.createDataFrame([(int(v),) for v in f.view(np.int64)], "fp long")
-    for chunk in (2048, 7):  # the second splits every shared block value into chunks
+    for chunk, wide in ((2048, 1 << 24), (7, 1 << 24), (2048, 0), (3, 0)):  # shared values split into chunks; keys of more blocks
         from rowforge.llm.components import components
 
+        monkeypatch.setattr(simhash, "WIDE", wide)
+        monkeypatch.setattr(common, "HOT_ROWS", 10_000 if wide else 2)  # and nodes of more links joined where they are
         roots = {r.node: r.root for r in components(simhash.near_links(df, chunk=chunk)).collect()}
         parts = {}
         for v, label in zip(f.view(np.int64).tolist(), labels.tolist()):
