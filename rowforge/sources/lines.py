@@ -100,7 +100,11 @@ def staged(spark: SparkSession, stream, step: int = 1 << 20) -> str:
 
 
 def from_files(spark: SparkSession, paths: list[str]) -> LineFrame:
-    """Files one after the other, byte by byte: a last line without a line feed goes on in the next file."""
+    """Files one after the other, byte by byte: a last line without a line feed goes on in the next file.
+
+    Lines are numbered where they are read: a split of a file knows where it begins, its lines come one after another, and
+    one count of lines for each split gives the numbers, so nothing is sorted or shuffled.
+    """
     ends = [_ends(spark, p) for p in paths]
     parts = []
     for i, path in enumerate(paths):
@@ -112,9 +116,15 @@ def from_files(spark: SparkSession, paths: list[str]) -> LineFrame:
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    counts = {r["__f"]: r["n"] for r in lines.groupBy("__f").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    numbered = positions(lines, [("__f", False), ("__b", False), ("__i", False)], "row_no", total).select("row_no", "content")
+    splits = lines.groupBy("__f", "__b").agg(F.count("*").alias("n"), F.min("__i").alias("i")).collect()  # a row for each split
+    counts: dict[int, int] = {}
+    total, begins = 0, []
+    for r in sorted(splits, key=lambda r: (r["__f"], r["__b"])):
+        begins.append((r["__f"], r["__b"], total + 1 - r["i"]))
+        counts[r["__f"]] = counts.get(r["__f"], 0) + r["n"]
+        total += r["n"]
+    begins = spark.createDataFrame(begins, "__f int, __b long, __begin long")
+    numbered = lines.join(F.broadcast(begins), ["__f", "__b"]).select((F.col("__begin") + F.col("__i")).alias("row_no"), "content")
     filled = [i for i in range(len(paths)) if ends[i][0]]
     # rows that go on in the next file
     open_rows, at = [], 0

@@ -141,6 +141,25 @@ def test_files(spark, tmp_path):
     assert b.read_bytes() == b" first\nY\r\nz" and (tmp_path / "b.bak").read_bytes() == b" first\ny\r\nz"
 
 
+def test_files_in_many_splits(spark, tmp_path):
+    """Lines are numbered in the order of bytes however files are split, without a sort."""
+    rng = random.Random(3)
+    texts = ["".join(f"{i} {'x' * rng.randint(0, 90)}\n" for i in range(400)) + "end", "", "a\n" * 50, "\n\n" + "y" * 3000 + "\nz"]
+    for i, t in enumerate(texts):
+        (tmp_path / str(i)).write_text(t)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        lines = from_files(spark, [str(tmp_path / str(i)) for i in range(4)])
+        assert lines.df.rdd.getNumPartitions() > 10
+        got = lines.df.collect()
+        assert b"".join(chunks(plan(TextJob(), lines))) == "".join(texts).encode()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.content for r in sorted(got, key=lambda r: r.row_no)] == "".join(texts).split("\n")
+    assert sorted(r.row_no for r in got) == list(range(1, lines.total + 1))
+
+
 def test_invalid_utf8_names_the_line(spark, tmp_path):
     bad = tmp_path / "bad"
     bad.write_bytes(b"ok\n\xff\xfe\n")
