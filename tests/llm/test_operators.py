@@ -377,17 +377,32 @@ def test_simhash(docs, empty, spark, monkeypatch):
     f = np.unique(np.concatenate([f, *(f[:150] ^ (np.uint64(1) << rng.integers(0, 62, 150).astype(np.uint64)) for _ in range(4))]))
     x, y = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
     labels = simhash.find_roots(np.arange(len(f)), x, y)
-    df = spark.createDataFrame([(int(v),) for v in f.view(np.int64)], "fp long")
-    for chunk, wide in ((2048, 1 << 24), (7, 1 << 24), (2048, 0), (3, 0)):  # shared values split into chunks; keys of more blocks
+    df = spark.createDataFrame([(int(v), int(v)) for v in f.view(np.int64)], "node long, fp long")
+    for chunk, wide in ((2048, 1024), (7, 1024), (2048, 0), (3, 0)):  # shared values split into chunks; keys of more blocks
         from rowforge.llm.components import components
 
-        monkeypatch.setattr(simhash, "WIDE", wide)
+        monkeypatch.setattr(simhash, "PER_KEY", wide)
         monkeypatch.setattr(common, "HOT_ROWS", 10_000 if wide else 2)  # and nodes of more links joined where they are
         roots = {r.node: r.root for r in components(simhash.near_links(df, chunk=chunk)).collect()}
         parts = {}
         for v, label in zip(f.view(np.int64).tolist(), labels.tolist()):
             parts.setdefault(label, set()).add(roots.get(v, v))
         assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == len(parts)
+    second = rng.integers(0, 1 << 62, 3).astype(np.uint64)[rng.integers(0, 3, len(f))] ^ (np.uint64(1) << rng.integers(0, 62, len(f)).astype(np.uint64))
+    x, y = np.nonzero((np.bitwise_count(f[:, None] ^ f[None, :]) <= 5) & (np.bitwise_count(second[:, None] ^ second[None, :]) <= 2))
+    labels = simhash.find_roots(np.arange(len(f)), x, y)
+    assert 1 < len(set(labels.tolist())) < len(f)
+    df = spark.createDataFrame([(int(a), int(a), int(b)) for a, b in zip(f.view(np.int64), second.view(np.int64))], "node long, fp long, fp2 long")
+    for chunk, wide in ((2048, 1024), (5, 1)):
+        monkeypatch.setattr(simhash, "PER_KEY", wide)
+        roots = {r.node: r.root for r in components(simhash.near_links(df, 5, chunk, 2)).collect()}
+        parts = {}
+        for v, label in zip(f.view(np.int64).tolist(), labels.tolist()):
+            parts.setdefault(label, set()).add(roots.get(v, v))
+        assert all(len(p) == 1 for p in parts.values()) and len({min(p) for p in parts.values()}) == len(parts)
+    same = np.full(20_000, 5, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64))
+    start = time.perf_counter()  # a large group of near copies, in which all is soon joined
+    assert set(simhash.links(np.zeros(20_000, np.int64), same).tolist()) == {0} and time.perf_counter() - start < 30
 
 
 def test_drop_near_duplicates(empty, spark):
@@ -397,8 +412,8 @@ def test_drop_near_duplicates(empty, spark):
     rows += [(7, same, "a"), (7, other, "b"), (3, same, "c"), (9, other, "d"), (9, other, "d"), (4, prose(13), "e"), (4, prose(13), "f"), (5, None, "g"), (6, "", "h")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = [tuple(r) for r in simhash.drop_near_duplicates(table).collect()]
-    fp = {t: simhash.fingerprint(t) for _, t, _ in rows}
-    assert all(a == b or (fp[a] ^ fp[b]).bit_count() > 3 or not (a or b) for a in fp for b in fp)  # only equal texts are near
+    fp = {t: simhash.fingerprint(t, 2) for _, t, _ in rows}
+    assert all(a == b or (fp[a] ^ fp[b]).bit_count() > 8 or not (a or b) for a in fp for b in fp)  # only equal texts are near
     best = {}
     for i, t, s in rows:
         best[t or ""] = min(best.get(t or "", (True, 0)), (i is None, i or 0))
@@ -408,6 +423,27 @@ def test_drop_near_duplicates(empty, spark):
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(table).columns == table.columns
 
 
+def test_near_copies_go(spark):
+    """Of texts that share 0.8 or more of their shingles of five words nearly all but one go; others stay."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 400").limit(150)
+    rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
+    rng = random.Random(3)
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
+    copies = []
+    for i, t in rows:
+        w = t.split(" ")
+        for _ in range(max(1, len(w) // 60)):
+            w[rng.randrange(len(w))] = prose(rng.random(), 1)
+        copies.append((i + 1_000_000, " ".join(w)))
+    near = [j for (_, a), (j, b) in zip(rows, copies) if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    alone = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alone - kept) <= 3 and len(near) > 60 and sum(j in kept for j in near) < 0.1 * len(near)
+    far = {tuple(sorted((i, j))) for i, a in rows for j, b in rows if i < j and shingles(a) and len(shingles(a) & shingles(b)) > 0.5 * len(shingles(a) | shingles(b))}
+    gone = {i for i, _ in rows} - alone
+    assert all(any(i in pair for pair in far) for i in gone)
+
+
 def test_lm(docs, empty):
     rows = docs.collect()
     trained = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
@@ -700,11 +736,11 @@ def test_clashing_names(spark):
 def plain_pipeline(rows, encoding):
     """The rows (doc_id, text, lang, source, n_chars) through all stages, by loops."""
     rows = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
-    fps = [simhash.fingerprint(r[1]) for r in rows]
+    fps = [(simhash.fingerprint(r[1], 2), simhash.fingerprint(r[1], 5)) for r in rows]
     group = list(range(len(rows)))
     for _ in rows:
         for i in range(len(rows)):
-            group[i] = min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 3)
+            group[i] = min(group[j] for j in range(len(rows)) if (fps[i][0] ^ fps[j][0]).bit_count() <= 8 and (fps[i][1] ^ fps[j][1]).bit_count() <= 14)
     best = {}
     for r, g in zip(rows, group):
         key = (r[0] is None, r[0] or 0, xxh(r[1]))
