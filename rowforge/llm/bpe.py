@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, portions
+from .common import held, portions, trim
 
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -68,7 +68,7 @@ class Spelled(dict):
 class Encoder:
     """Encodes texts to ids, and ids to bytes. ``keep`` bounds each of the two caches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000):
         self.ranks, self.keep = ranks, keep
         words = (max(ranks.values()) >> 6) + 1
         self._low = [0] * words
@@ -330,9 +330,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(raw.value, pattern)
         for batch in batches:
-            for part in portions(batch, 1, 8 << 20):
+            for part in portions(batch, 1):
                 ids, n = bpe.encode_array(part.column(1))
                 yield pa.record_batch([part.column(0), packed(ids.astype("<u4"), 4 * n), packed(*bpe.decode_array(ids, n))], names=["id", "ids", "decoded"])
+        trim()
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +52,19 @@ def remainder(column: str, n: int):
 _held: dict = {}
 
 
+def trim() -> None:
+    """Gives the memory that this Python worker has no more use for back to the system, for the stages after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def held(key, make):
     """What ``make`` made for ``key`` in this Python worker; only the last key's is kept, as workers go on to other
     operators and their caches would add up. Keys of learned models are drawn on the driver: an id() may come again."""
     if key not in _held:
         _held.clear()
+        trim()
         _held[key] = make()
     return _held[key]
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, trim
 
 #: Where scripts begin, in code points (fixed values): letters from one entry to the next are of its script.
 SCRIPTS = (
@@ -82,7 +82,7 @@ class Model:
 
     def words(self, texts: list[list[str]]) -> np.ndarray:
         """Rows of the score table for all words of all texts."""
-        if len(self._at) > 250_000:
+        if len(self._at) > 150_000:
             self.__init__(self.languages, self.weight, self.scripts, self.prior, self.penalty)
         at = self._at
         flat = [list(map(at.get, words)) for words in texts]
@@ -262,6 +262,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     names=["doc_id", "lang_pred", "score", "spans"],
                 )
                 lo = hi
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<first:long,last:long,lang:string>>")
@@ -290,5 +291,6 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
                     i = names.index(lang_col)
                     part = part.set_column(i, lang_col, pc.coalesce(part.column(i).cast(pa.string()), found).cast(part.schema.field(i).type))
                 yield part.filter(pc.not_equal(found, "und"))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

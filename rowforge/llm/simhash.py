@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_counted
+from .common import cut, fresh, join_counted, trim
 from .components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts = part.column(1).to_pylist()
                 fps = [pa.array(np.array([fingerprint(t, n) for t in texts], np.uint64).view(np.int64)) for n in made.values()]
                 yield pa.record_batch([part.column(0), *fps, *part.columns[2:]], names=["doc_id", *made, *beside])
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *(f"{c} long" for c in (*made, *beside))])
@@ -136,15 +137,14 @@ def links(group: np.ndarray, fp: np.ndarray, radius: int = 3, step: int = 1 << 1
     return labels
 
 
-#: Fingerprints that share a key, if all are as likely, at most: beyond, keys are of more blocks. Links are the same.
-PER_KEY = 1024
+#: A key's bits at least, and fingerprints that share it, if all are as likely, at most: beyond, keys are of more blocks.
+#: Links are the same.
+LEAST_BITS, PER_KEY = 12, 1024
 
 
 def _keys(n: int, radius: int) -> list[list[tuple[int, int]]]:
     """For each table, the (shift, width) parts of its key."""
-    m = 1
-    while n >> (64 * m // (radius + m)) > PER_KEY and m < 4:
-        m += 1
+    m = next(m for m in range(1, 5) if m == 4 or 64 * m // (radius + m) >= LEAST_BITS and n >> (64 * m // (radius + m)) <= PER_KEY)
     k = radius + m
     blocks = [(64 * i // k, 64 * (i + 1) // k - 64 * i // k) for i in range(k)]
     return [list(parts) for parts in combinations(blocks, m)]
@@ -180,6 +180,7 @@ def near_links(distinct: DataFrame, radius: int = 3, chunk: int = 2048, other_ra
             labels = links(group, fp, radius, other=more[0] if more else None, other_radius=other_radius or 0)
             on = np.flatnonzero(labels != np.arange(len(fp)))
             yield pa.record_batch([pa.array(node[on]), pa.array(node[labels[on]])], names=["a", "b"])
+        trim()
 
     # A task's groups may share a hash only by accident; a link between two of them would still be true.
     return keyed.repartition(tasks, "g").mapInArrow(run, "a long, b long")
