@@ -32,6 +32,15 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines()) if token}
 
 
+def _spread(shift: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """0, 1, 2 and so on, each run of ``size`` shifted."""
+    total = int(size.sum())
+    kind = np.int32 if total < 1 << 30 else np.int64
+    out = np.repeat(shift.astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 class Spelled(dict):
     """Numbers strings and keeps their ids."""
 
@@ -62,13 +71,13 @@ class Spelled(dict):
     def spelled(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered keys, one after another, and how many each has."""
         size = self.size[row]
-        return self.ids[np.arange(int(size.sum())) + np.repeat(self.begin[row] - (np.cumsum(size) - size), size)], size
+        return self.ids[_spread(self.begin[row] - (np.cumsum(size) - size), size)], size
 
 
 class Encoder:
     """Encodes texts to ids, and ids to bytes. ``keep`` bounds each of the two caches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 100_000):
         self.ranks, self.keep = ranks, keep
         words = (max(ranks.values()) >> 6) + 1
         self._low = [0] * words
@@ -92,6 +101,10 @@ class Encoder:
         self._bytes, self._size = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
         self._begin = np.cumsum(self._size) - self._size
 
+    def forget(self) -> None:
+        self._segments.forget()
+        self._pieces.forget()
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the lowest rank next, the leftmost among equals."""
         find = self.ranks.get
@@ -176,7 +189,7 @@ class Encoder:
         order = np.argsort(pair[:n], kind="stable")
         order = order[np.searchsorted(pair[order], 0) :]
         ranks, starts = np.unique(pair[order], return_index=True)
-        buckets = {r: list(x) for r, x in zip(ranks.tolist(), np.split(order, starts[1:]))} if len(order) else {}
+        buckets = {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(order, starts[1:]))} if len(order) else {}
         low, mid, top = self._low, self._mid, 0
         for rank in buckets:
             low[rank >> 6] |= 1 << (rank & 63)
@@ -242,8 +255,9 @@ class Encoder:
                 packed[i] = np.array(self.merge(piece), "<u4").tobytes()
             else:
                 short.append((i, piece))
-        if short:
-            for (i, _), ids in zip(short, self.merge_many([p for _, p in short])):
+        for lo in range(0, len(short), 32_768):
+            part = short[lo : lo + 32_768]
+            for (i, _), ids in zip(part, self.merge_many([p for _, p in part])):
                 packed[i] = ids
         return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
 
@@ -268,8 +282,7 @@ class Encoder:
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and how many each text has."""
         if max(len(self._segments), len(self._pieces)) > self.keep or max(len(self._segments.ids), len(self._pieces.ids)) > 16 * self.keep:
-            self._segments.forget()
-            self._pieces.forget()
+            self.forget()
         texts = pc.fill_null(texts, "")
         # A key is a segment without the space it begins with, or a space and a segment that begins with none. Where no
         # white space stands before a space, each space begins a segment.
@@ -298,7 +311,7 @@ class Encoder:
         """The bytes of lists of ids that follow one another, and how many each list has; ``n``: a list's ids."""
         size = self._size[ids]
         stop = np.cumsum(size)
-        out = self._bytes[np.arange(int(size.sum())) + np.repeat(self._begin[ids] - (stop - size), size)]
+        out = self._bytes[_spread(self._begin[ids] - (stop - size), size)]
         return out, np.diff(np.append(0, stop)[np.append(0, np.cumsum(n))])
 
     def encode(self, text: str) -> bytes:
@@ -330,9 +343,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(raw.value, pattern)
         for batch in batches:
-            for part in portions(batch, 1):
+            for part in portions(batch, 1, 2 << 20):
                 ids, n = bpe.encode_array(part.column(1))
                 yield pa.record_batch([part.column(0), packed(ids.astype("<u4"), 4 * n), packed(*bpe.decode_array(ids, n))], names=["id", "ids", "decoded"])
+        bpe.forget()
         trim()
 
     kind = df.schema[id_col].dataType.simpleString()

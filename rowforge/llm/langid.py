@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, trim
+from .common import held, portions, trim
 
 #: Where scripts begin, in code points (fixed values): letters from one entry to the next are of its script.
 SCRIPTS = (
@@ -77,13 +77,17 @@ class Model:
 
     def __init__(self, languages: list[str], weight: np.ndarray, scripts: dict[str, np.ndarray], prior: int, penalty: float = 4.0):
         self.languages, self.weight, self.scripts, self.prior, self.penalty = languages, weight, scripts, prior, penalty
+        self.forget()
+
+    def forget(self) -> None:
+        """The words met so far."""
         self._at: dict[str, int] = {}
-        self._score, self._letters = np.zeros((0, len(languages)), np.float32), np.zeros(0, np.int64)
+        self._score, self._letters = np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int64)
 
     def words(self, texts: list[list[str]]) -> np.ndarray:
         """Rows of the score table for all words of all texts."""
         if len(self._at) > 150_000:
-            self.__init__(self.languages, self.weight, self.scripts, self.prior, self.penalty)
+            self.forget()
         at = self._at
         flat = [list(map(at.get, words)) for words in texts]
         new = dict.fromkeys(w for words, found in zip(texts, flat) if None in found for w, i in zip(words, found) if i is None)
@@ -249,9 +253,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lo = 0
-            while lo < len(texts):  # about 4 million characters at once
+            while lo < len(texts):  # about 2 million characters at once
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 4_000_000):
+                while hi < len(texts) and (hi == lo or size < 2_000_000):
                     size += len(texts[hi] or "")
                     hi += 1
                 found = [("und", 0.0, [])] * (hi - lo) if parts is None else held(("langid", key), lambda: Model(*parts)).label(texts[lo:hi])
@@ -262,6 +266,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     names=["doc_id", "lang_pred", "score", "spans"],
                 )
                 lo = hi
+        if parts is not None:
+            held(("langid", key), lambda: Model(*parts)).forget()
         trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -284,13 +290,13 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = held(("langid", key), lambda: Model(*sent.value))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in portions(batch, names.index(text_col), 2 << 20):
                 found = pa.array([x[0] for x in labeller.label(part.column(names.index(text_col)).to_pylist())], pa.string())
                 if lang_col in names:
                     i = names.index(lang_col)
                     part = part.set_column(i, lang_col, pc.coalesce(part.column(i).cast(pa.string()), found).cast(part.schema.field(i).type))
                 yield part.filter(pc.not_equal(found, "und"))
+        labeller.forget()
         trim()
 
     return docs.mapInArrow(run, docs.schema)
