@@ -7,8 +7,7 @@ output to OUT; common ids have a class each, others share one by the company the
 targets; each block sees itself and the block before it, so windows overlap and every id is scored once.
 
 Words, ids and pairs of ids are counted over all training texts, and classes and shares come from these counts. The
-attention is begun on the driver and goes on in the cluster over all windows of one of FIT_SHARE training texts, by a
-hash, so what it learns from grows with the corpus.
+attention is begun on the driver and goes on in the cluster over all windows of all training texts.
 
 Beside it stands the base score: add-one unigram word counts over all training texts. The commonest words (a bounded
 number) are looked up where the texts are, the others by a join; the counts are the same either way, and ``score`` does
@@ -23,7 +22,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,8 @@ BLOCK, DIM, IN, OUT = 8, 16, 256, 64
 #: How many of the most frequent ids have an input or output class of their own.
 OWN_IN, OWN_OUT = 192, 24
 #: The attention is begun on the driver with a window of FIT_WINDOW ids of about FIT_DOCUMENTS training texts, by a hash
-#: of their id, in about FIT_STEPS steps, and goes on over all windows of one of FIT_SHARE training texts, by a hash.
-FIT_DOCUMENTS, FIT_WINDOW, FIT_STEPS, FIT_SHARE = 3000, 128, 375, 4
+#: of their id, in about FIT_STEPS steps, and goes on over all windows of one of FIT_SHARE training texts: of every one.
+FIT_DOCUMENTS, FIT_WINDOW, FIT_STEPS, FIT_SHARE = 3000, 128, 375, 1
 #: Blocks of a training step, its rate in the cluster, and units of a sum.
 STEP_BLOCKS, STEP_RATE, UNIT = 768, 0.004, 1 << 20
 #: Words looked up without a join, at most, and bytes of a word's key: a longer word's key is its digest.
@@ -91,11 +90,6 @@ class Words(dict):
         self.names: list[bytes] = []
         self.begin, self.size, self.ids = (np.zeros(0, np.int32) for _ in range(3))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.names)
-        self.names.append(word)
-        return number
-
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words of the texts, one after another, and how many words each text has."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -103,13 +97,15 @@ class Words(dict):
         names, empty = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.dictionary.index("").as_py()
         if empty >= 0:  # what is split off at the ends of texts
             del names[empty]
+        new = [w for w in names if w not in self]
+        self.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self.names += new
         own = np.fromiter(map(self.__getitem__, names), np.int32, len(names))
         row = (np.insert(own, empty, -1) if empty >= 0 else own)[found.indices.to_numpy()]
         if empty >= 0:
             offsets = np.append(0, np.cumsum(row >= 0))[offsets]
             row = row[row >= 0]
         n = np.diff(offsets).astype(np.int64)
-        new = self.names[len(self.size) :]
         if new:
             ids, size = self._spell(new)
             self.begin = np.concatenate((self.begin, (np.cumsum(size) - size + len(self.ids)).astype(np.int32)))
@@ -145,11 +141,12 @@ SEEN = (AWAY >= 0).astype(np.float32)
 
 def _sum_rows(key: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The sums of the rows of ``values`` by their key, an input class."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    out = np.zeros((IN, values.shape[1]), np.float32)
-    out[key[at]] = np.add.reduceat(values[order], at)
+    values, one = values.take(np.argsort(key, kind="stable"), 0), np.ones(len(key), np.float32)
+    out, lo = np.zeros((IN, values.shape[1]), np.float32), 0
+    for row, hi in zip(out, np.cumsum(np.bincount(key, minlength=IN)).tolist()):
+        if hi > lo:
+            one[lo:hi].dot(values[lo:hi], row)
+            lo = hi
     return out
 
 
@@ -168,30 +165,30 @@ class Attention:
 
     def prepare(self) -> None:
         """Works out what forward() looks up; to be done whenever the tables have changed."""
-        self.pairs = np.exp(np.clip(self.q @ self.k.T * np.float32(DIM**-0.5), -30, 30)).ravel()
+        pairs = (self.q * np.float32(DIM**-0.5)) @ self.k.T
+        np.clip(pairs, -30, 30, out=pairs)
+        self.pairs = np.exp(pairs, out=pairs).ravel()
         self.near = SEEN * np.exp(np.clip(self.r, -30, 30))[np.maximum(AWAY, 0)]
-        self.v1 = np.concatenate((self.v, np.ones((IN, 1), np.float32)), 1)  # the weights' sum comes with their product
         most = lambda x: float(np.abs(x).max())
         self.tame = DIM * most(self.v) * most(self.u) + most(self.b) + most(self.c) < 80  # no logit overflows
 
     def forward(self, x: np.ndarray, last: np.ndarray, before: np.ndarray, first: np.ndarray):
         """x, last, before (blocks, BLOCK): input classes, those one place back, and the block before each; ``first``
         marks the blocks that begin a text. The last of what it returns are the logits of output classes."""
-        both = np.concatenate((before, x), 1)
-        at = (x.astype(np.int32) * np.int32(IN))[:, :, None] + both[:, None, :]
+        both = np.concatenate((before, x), 1).astype(np.intp)
+        at = (both[:, BLOCK:] * IN)[:, :, None] + both[:, None, :]
         a = self.pairs.take(at)
         a *= self.near
         a[first, :, :BLOCK] = 0
-        v = self.v1.take(both, 0)
-        h = (a @ v).reshape(-1, DIM + 1)
-        total = h[:, DIM:]
-        h = h[:, :DIM] / total
+        a /= np.einsum("btj->bt", a)[:, :, None]
+        v = self.v.take(both, 0)
+        h = (a @ v).reshape(-1, DIM)
         z = h @ self.u
         z += self.b.take(x.ravel(), 0)
         z += self.c.take(last.ravel(), 0)
         if not self.tame:
             z -= z.max(1, keepdims=True)
-        return both, at, a, total.reshape(-1, BLOCK, 1), v[:, :, :DIM], h, z
+        return at, a, v, h, z
 
     def log_p(self, x: np.ndarray, last: np.ndarray, y: np.ndarray, first: np.ndarray, step: int = 512) -> np.ndarray:
         """Log probability of each target class y of blocks that follow one another."""
@@ -216,29 +213,33 @@ class Attention:
     def step(self, x: np.ndarray, last: np.ndarray, before: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
         """One step by the gradient of blocks as in forward(), with target classes y and their weight (0: no target)."""
         self.prepare()
-        both, at, a, total, v, h, d = self.forward(x, last, before, first)
-        a /= total
+        at, a, v, h, d = self.forward(x, last, before, first)
         np.exp(d, out=d)
-        d /= (d @ np.ones(OUT, np.float32))[:, None]
-        d[np.arange(len(d)), y.ravel()] -= 1
-        d *= (weight / max(1.0, float(weight.sum()))).reshape(-1, 1)
+        weight = weight.ravel() / np.float32(max(1.0, float(weight.sum())))
+        d *= (weight / (d @ np.ones(OUT, np.float32)))[:, None]
+        d.reshape(-1)[np.arange(0, d.size, OUT) + y.ravel()] -= weight
         dh = (d @ self.u.T).reshape(len(x), BLOCK, DIM)
         da = dh @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(2, keepdims=True)
+        da -= np.einsum("btj,btj->bt", da, a)[:, :, None]
         da *= a
         pairs = np.bincount(at.ravel(), da.ravel(), IN * IN).reshape(IN, IN).astype(np.float32) * np.float32(DIM**-0.5)
         grad = {
-            "q": pairs @ self.k, "k": pairs.T @ self.q, "v": _sum_rows(both.ravel(), (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)),
+            "q": pairs @ self.k, "k": pairs.T @ self.q, "v": _sum_rows(np.concatenate((before, x), 1).ravel(), (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)),
             "r": np.bincount(np.maximum(AWAY, 0).ravel(), da.sum(0).ravel(), 2 * BLOCK).astype(np.float32),
-            "u": h.T @ d, "b": _sum_rows(x.ravel(), d), "c": _sum_rows(last.ravel(), d),
+            "u": (d.T @ h).T, "b": _sum_rows(x.ravel(), d), "c": _sum_rows(last.ravel(), d),
         }
         self.steps += 1
         now = np.float32(rate * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for n, g in grad.items():
-            self.mean[n] += np.float32(0.1) * (g - self.mean[n])
-            self.square[n] += np.float32(0.01) * (g * g - self.square[n])
-            own = getattr(self, n)
-            own -= now * self.mean[n] / (np.sqrt(self.square[n]) + np.float32(1e-8))
+            own, mean, square = getattr(self, n), self.mean[n], self.square[n]
+            mean += np.float32(0.1) * (g - mean)
+            g *= g
+            square += np.float32(0.01) * (g - square)
+            np.sqrt(square, out=g)
+            g += np.float32(1e-8)
+            np.divide(mean, g, out=g)
+            g *= now
+            own -= g
 
     def train(self, laid: Laid, on: np.ndarray, rate: float) -> int:
         """Steps over the blocks ``on`` of texts; returns how many targets they have."""
@@ -427,12 +428,11 @@ def _sample(docs: DataFrame, raw, pattern: str, n: int) -> list[np.ndarray]:
 
 
 def _go_on(docs: DataFrame, raw, pattern: str, attention: Attention, into: np.ndarray, out: np.ndarray) -> int:
-    """Trains the attention on all blocks of one of FIT_SHARE training texts and returns how many targets they have.
+    """Trains the attention on all blocks of all training texts and returns how many targets they have.
 
     Each task goes on from the same tables over its own texts, and the tasks' tables are averaged by their targets. Sums
     are of whole units, so the order of tasks does not matter.
     """
-    docs = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIT_SHARE)) == 0)
     key, start = uuid.uuid4().hex, attention.packed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +527,7 @@ class Scorer:
         row, n = self.words.rows(texts)
         new = list(map(key_of, self.words.names[len(self.count) :]))
         if new:
-            self.count = np.concatenate((self.count, np.fromiter((self.common.get(k, 0) for k in new), np.int64, len(new))))
+            self.count = np.concatenate((self.count, np.fromiter(map(self.common.get, new, repeat(0)), np.int64, len(new))))
             self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.binary())])
         ids, length = self.words.spelled(row, n)
         laid = Laid(ids, length, self.model.into, self.model.out)

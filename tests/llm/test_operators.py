@@ -595,6 +595,26 @@ def test_lm_learns_from_all_rows(docs, encoding, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_lm_trains_on_every_text(docs, encoding, monkeypatch):
+    """The attention takes every id and end of all training texts, however many they are: copies, long and empty ones too."""
+    go_on, seen = lm._go_on, []
+    monkeypatch.setattr(lm, "_go_on", lambda *a: seen.append(go_on(*a)))
+    every = remainder("doc_id", 7) != 2
+    lm.score(docs, path(), public_tokenizers.PATTERN, every)
+    texts = [r.text for r in docs.filter(every).collect()]
+    assert seen == [sum(1 + sum(len(encoding.encode_ordinary(" " + w.decode())) for w in lm.words_of(t)) for t in texts)]
+
+
+def test_lm_sums_by_class():
+    rng = np.random.default_rng(3)
+    for n, most in ((1, 1), (700, 3), (700, lm.IN)):
+        key, values = rng.integers(0, most, n).astype(np.uint8), rng.normal(0, 1, (n, 5)).astype(np.float32)
+        plain = np.zeros((lm.IN, 5))
+        for k, v in zip(key, values):
+            plain[k] += v
+        assert np.allclose(lm._sum_rows(key, values), plain, atol=1e-4)
+
+
 def test_lm_joined_words(docs, spark, monkeypatch):
     """Words found by the join count like words of the common table, long ones too; the score does not depend on it."""
     more = spark.createDataFrame([(900 + i, f"{'longword' * 20} {'y' * 70} short", None) for i in range(9)], "doc_id long, text string, lang string")
