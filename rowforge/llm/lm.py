@@ -6,8 +6,9 @@ after the last id (a softmax over the whole vocabulary, factored by classes). As
 output to OUT; common ids have a class each, others share one by the company they keep. A text is scored in blocks of
 targets; each block sees itself and the block before it, so windows overlap and every id is scored once.
 
-Words, ids and pairs of ids are counted over all training texts, and classes and shares come from these counts. The
-attention is begun on the driver and goes on in the cluster over all windows of all training texts.
+Each text is split into words and spelled once; its ids are written, and training and scoring read them. Words, ids and
+pairs of ids are counted over all training texts, and classes and shares come from these counts. The attention is begun on
+the driver and goes on in the cluster over all windows of all training texts.
 
 Beside it stands the base score: add-one unigram word counts over all training texts. The commonest words (a bounded
 number) are looked up where the texts are, the others by a join; the counts are the same either way, and ``score`` does
@@ -77,12 +78,22 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= KEY_BYTES else b"\0" + hashlib.sha256(word).digest()
 
 
+def as_spelled(words: list[bytes]) -> list[bytes]:
+    """The words as their ids spell them: what is no UTF-8 becomes U+FFFD."""
+    try:
+        b" ".join(words).decode()
+    except UnicodeDecodeError:
+        return [w.decode("utf-8", "replace").encode() for w in words]
+    return words
+
+
 class Words(dict):
     """Numbers the words of texts and keeps their ids, until ``keep`` words are held."""
 
     def __init__(self, encoding: tiktoken.Encoding, keep: int | None = None):
         super().__init__()
         self.encoding, self.keep, self.spaced = encoding, keep or KEEP, spaced_ids(encoding)
+        self.width = np.array([len(encoding.decode_single_token_bytes(i)) for i in range(encoding.n_vocab)], np.int32)
         self.forget()
 
     def forget(self) -> None:
@@ -122,7 +133,10 @@ class Words(dict):
                 return ids, np.diff(begin, append=len(ids)).astype(np.int32)
         each = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
         size = np.fromiter(map(len, each), np.int32, len(each))
-        return np.fromiter(chain.from_iterable(each), np.int32, int(size.sum())), size
+        ids = np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
+        if not np.array_equal(np.flatnonzero(self.spaced[ids]), np.cumsum(size) - size) or self.width[ids].sum() != len(joined.encode()):
+            raise ValueError("the vocabulary and its pattern leave out parts of words, or begin a word without its space")
+        return ids, size
 
     def spelled(self, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words ``row`` and how many ids each text has, with its end."""
@@ -134,6 +148,28 @@ class Words(dict):
         return ids, np.diff(stop) + 1
 
 
+def packed_ids(ids: np.ndarray, length: np.ndarray, n_vocab: int) -> pa.Array:
+    """The ids of texts, of which each has ``length``, as a binary value for each text."""
+    ids = ids.astype(_kind(n_vocab))
+    offsets = np.append(0, np.cumsum(length) * ids.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+def unpacked_ids(packed: pa.Array, n_vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """What packed_ids() had."""
+    kind, packed = _kind(n_vocab), packed.cast(pa.binary())
+    if not len(packed):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    size = int(offsets[-1] - offsets[0]) // kind.itemsize
+    ids = np.frombuffer(packed.buffers()[2], kind, size, int(offsets[0])) if size else np.zeros(0, kind)
+    return ids, np.diff(offsets) // kind.itemsize
+
+
+def _kind(n_vocab: int) -> np.dtype:
+    return np.dtype(np.uint16 if n_vocab <= 1 << 16 else np.int32)
+
+
 #: Distance of key from query; 1 where a query may see the key.
 AWAY = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 SEEN = (AWAY >= 0).astype(np.float32)
@@ -226,7 +262,7 @@ class Attention:
         grad = {
             "q": pairs @ self.k, "k": pairs.T @ self.q, "v": _sum_rows(np.concatenate((before, x), 1).ravel(), (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)),
             "r": np.bincount(np.maximum(AWAY, 0).ravel(), da.sum(0).ravel(), 2 * BLOCK).astype(np.float32),
-            "u": (d.T @ h).T, "b": _sum_rows(x.ravel(), d), "c": _sum_rows(last.ravel(), d),
+            "u": h.T @ d, "b": _sum_rows(x.ravel(), d), "c": _sum_rows(last.ravel(), d),
         }
         self.steps += 1
         now = np.float32(rate * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
@@ -321,15 +357,19 @@ def shares_of(counts: np.ndarray, frequency: np.ndarray, out: np.ndarray) -> np.
     return share
 
 
-def _counts(docs: DataFrame, raw, pattern: str) -> DataFrame:
-    """``word, pair, n``: over all texts, how often each word (its key; pair is null) is there, and how often an id
-    follows another, ``pair`` being the one before times the vocabulary's size and 1, plus the other (word is null). The
-    vocabulary's size stands for a text's beginning and end."""
+def _texts(docs: DataFrame, raw, pattern: str) -> DataFrame:
+    """``doc_id, trained, ids, word, pair, n``, written: a row of each text with its ids (packed_ids()), and, with null ids,
+    what _counts() adds up: counts of parts of the training texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(raw.value, pattern)
         end = encoding.n_vocab
-        words, times, pairs = Words(encoding, 2 * KEEP), np.zeros(0, np.int64), []
+        words, times, pairs, id_type = Words(encoding, 2 * KEEP), np.zeros(0, np.int64), [], pa.null()
+
+        def batch_of(size: int, **given: pa.Array) -> pa.RecordBatch:
+            types = {"doc_id": id_type, "trained": pa.bool_(), "ids": pa.binary(), "word": pa.binary(), "pair": pa.int64(), "n": pa.int64()}
+            return pa.record_batch([given.get(k, pa.nulls(size, t)) for k, t in types.items()], names=list(types))
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             key, at = np.unique(np.concatenate([k for k, _ in pairs]), return_inverse=True)
@@ -344,23 +384,28 @@ def _counts(docs: DataFrame, raw, pattern: str) -> DataFrame:
             if pairs:
                 key, n = merged()
                 pairs.clear()
-                on = n > 0
                 for lo in range(0, len(words), 100_000):
-                    names = pa.array(list(map(key_of, words.names[lo : lo + 100_000])), pa.binary())
-                    yield pa.record_batch([names, pa.nulls(len(names), pa.int64()), pa.array(times[lo : lo + 100_000])], names=["word", "pair", "n"])
-                yield pa.record_batch([pa.nulls(int(on.sum()), pa.binary()), pa.array(key[on]), pa.array(n[on])], names=["word", "pair", "n"])
+                    count = times[lo : lo + 100_000]
+                    names = [key_of(w) for w, c in zip(as_spelled(words.names[lo : lo + 100_000]), count.tolist()) if c]
+                    yield batch_of(len(names), word=pa.array(names, pa.binary()), n=pa.array(count[count > 0]))
+                yield batch_of(int((n > 0).sum()), pair=pa.array(key[n > 0]), n=pa.array(n[n > 0]))
             words.forget()
 
         for batch in batches:
-            for part in portions(batch, 0):
-                row, n = words.rows(part.column(0))
+            id_type = batch.schema.field(0).type
+            for part in portions(batch, 1):
+                row, n = words.rows(part.column(1))
+                ids, length = words.spelled(row, n)
+                yield batch_of(len(n), doc_id=part.column(0), trained=part.column(2), ids=packed_ids(ids, length - 1, end))
+                on = part.column(2).to_numpy(zero_copy_only=False)
+                row, n = row[np.repeat(on, n)], n[on]
                 times = np.bincount(row, minlength=len(words)) + np.append(times, np.zeros(len(words) - len(times), np.int64))
                 # pairs across words: the last id of each word, or a text's beginning, and the first of the next, or its end
                 first, last = words.ids[words.begin[row]], words.ids[words.begin[row] + words.size[row] - 1]
                 place = np.arange(len(row)) + np.repeat(np.arange(len(n)), n)
                 a, b = np.full(len(row) + len(n), end, np.int64), np.full(len(row) + len(n), end, np.int64)
                 a[place + 1], b[place] = last, first
-                a[np.append(0, np.cumsum(n + 1)[:-1])] = end
+                a[np.append(0, np.cumsum(n + 1)[:-1])[: len(n)]] = end
                 pairs.append(np.unique(a * (end + 1) + b, return_counts=True))
                 if len(pairs) >= 64:
                     pairs[:] = [merged()]
@@ -370,8 +415,17 @@ def _counts(docs: DataFrame, raw, pattern: str) -> DataFrame:
         yield from flush()
         trim()
 
-    found = docs.select("text").mapInArrow(run, "word binary, pair long, n long")
-    return cut(found.groupBy("word", "pair").agg(F.sum("n").alias("n")), "lm-counts")
+    found = docs.select("doc_id", "text", "trained").mapInArrow(run, f"doc_id {kind}, trained boolean, ids binary, word binary, pair long, n long")
+    return cut(found, "lm-texts")
+
+
+def _counts(docs: DataFrame, raw, pattern: str) -> DataFrame:
+    """``word, pair, n``: over all training texts of what _texts() gave, or of all rows of a table of texts, how often each
+    word (its key; pair is null) is there, and how often an id follows another, ``pair`` being the one before times the
+    vocabulary's size and 1, plus the other (word is null). The vocabulary's size stands for a text's beginning and end."""
+    if "ids" not in docs.columns:
+        docs = _texts(docs.select("doc_id", "text", F.lit(True).alias("trained")), raw, pattern)
+    return cut(docs.filter("ids is null").groupBy("word", "pair").agg(F.sum("n").alias("n")), "lm-counts")
 
 
 def _cells(pairs: DataFrame, key, size: int) -> np.ndarray:
@@ -411,18 +465,17 @@ def _sample(docs: DataFrame, raw, pattern: str, n: int) -> list[np.ndarray]:
         docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * FIT_DOCUMENTS / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("lm-sample", lambda: Words(tokenizer(raw.value, pattern)))
+        end = tokenizer(raw.value, pattern).n_vocab
         for batch in batches:
             windows = []
-            for i in range(batch.num_rows):
-                if len(words) > words.keep:
-                    words.forget()
-                ids = words.spelled(*words.rows(batch.column(1).slice(i, 1)))[0].tolist()
-                at = 0 if len(ids) <= FIT_WINDOW else hash(tuple(ids[:64])) % (len(ids) - FIT_WINDOW + 1)
-                windows.append(ids[at : at + FIT_WINDOW])
+            ids, length = unpacked_ids(batch.column(0), end)
+            for hi, size in zip(np.cumsum(length).tolist(), length.tolist()):
+                own = ids[hi - size : hi]
+                at = 0 if size <= FIT_WINDOW else hash(tuple(own[:64].tolist())) % (size - FIT_WINDOW + 1)
+                windows.append(own[at : at + FIT_WINDOW].tolist())
             yield pa.record_batch([pa.array(windows, pa.list_(pa.int64()))], names=["window"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "window array<long>")
+    found = docs.select("ids").mapInArrow(run, "window array<long>")
     found = found.limit(2 * FIT_DOCUMENTS).collect()  # in case one id has many rows
     return [np.array(w, np.int64) for w in sorted(tuple(r["window"]) for r in found)]
 
@@ -433,29 +486,26 @@ def _go_on(docs: DataFrame, raw, pattern: str, attention: Attention, into: np.nd
     Each task goes on from the same tables over its own texts, and the tasks' tables are averaged by their targets. Sums
     are of whole units, so the order of tasks does not matter.
     """
-    key, start = uuid.uuid4().hex, attention.packed()
+    start = attention.packed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held(("lm-words", key), lambda: Words(tokenizer(raw.value, pattern)))
+        end = tokenizer(raw.value, pattern).n_vocab
         own = Attention()
         own.unpack(start)
         own.begin()
         targets = 0
         for batch in batches:
             for part in portions(batch, 0):
-                if len(words) > words.keep:
-                    words.forget()
-                ids, length = words.spelled(*words.rows(part.column(0)))
-                laid = Laid(ids, length, into, out)
+                ids, length = unpacked_ids(part.column(0), end)
+                laid = Laid(ids, length + 1, into, out)
                 targets += own.train(laid, np.arange(len(laid.x)), STEP_RATE)
-        words.forget()
         if targets:
             values = np.rint(own.packed().astype(np.float64) * UNIT).astype(np.int64) * targets
             values = np.append(values, targets)
             yield pa.record_batch([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "v"])
 
     # a row for each number of the tables, whatever the number of tasks
-    found = docs.select("text").mapInArrow(run, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()
+    found = docs.select("ids").mapInArrow(run, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()
     if not found.num_rows:
         return 0
     values = np.zeros(len(start) + 1)
@@ -480,7 +530,7 @@ class Model:
 
 
 def fit(docs: DataFrame, pairs: DataFrame, raw, pattern: str, n: int) -> Model:
-    """The model learned from training rows ``doc_id, text``, of which there are n, and their counted pairs ``a, b, n``."""
+    """The model learned from training rows ``doc_id, ids``, of which there are n, and their counted pairs ``a, b, n``."""
     windows = _sample(docs, raw, pattern, n)
     encoding = tokenizer(raw.value, pattern)
     end = encoding.n_vocab
@@ -509,34 +559,41 @@ def fit(docs: DataFrame, pairs: DataFrame, raw, pattern: str, n: int) -> Model:
 
 
 class Scorer:
-    """Scores texts; ``common`` has the counts of words by their keys."""
+    """Scores texts by their ids; ``common`` has the counts of words by their keys."""
 
     def __init__(self, model: Model, encoding: tiktoken.Encoding, common: dict[bytes, int]):
-        self.model, self.words, self.common = model, Words(encoding), common
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words.forget()
-        self.count, self.keys = np.zeros(0, np.int64), pa.array([], pa.binary())
-
-    def score(self, texts: pa.Array) -> list[pa.Array]:
+        self.model, self.n_vocab, self.common, self.spaced = model, encoding.n_vocab, common, spaced_ids(encoding)
+        self.bytes = pa.array([encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)], pa.binary())
+        self.width = pc.binary_length(self.bytes).to_numpy()
+
+    def words(self, ids: np.ndarray, begin: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The keys of the distinct words that begin at ``begin``, and which one each word is."""
+        offsets = np.append(0, np.cumsum(self.width[ids], dtype=np.int64))[np.append(begin, len(ids))].astype(np.int32)
+        spelled = self.bytes.take(pa.array(ids)).buffers()[2]
+        found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), spelled]).dictionary_encode()
+        each, n = found.dictionary, len(found.dictionary)
+        at = np.repeat(np.frombuffer(each.buffers()[1], np.int32)[: n + 1], 2)[:-1]
+        at[1::2] += 1  # the space of each word apart
+        names = pa.Array.from_buffers(pa.binary(), 2 * n, [None, pa.py_buffer(at), each.buffers()[2]]).take(pa.array(np.arange(1, 2 * n, 2)))
+        keys = names.to_numpy(zero_copy_only=False).tolist()
+        for i in np.flatnonzero(pc.binary_length(names).to_numpy() > KEY_BYTES).tolist():
+            keys[i] = key_of(keys[i])
+        return keys, found.indices.to_numpy()
+
+    def score(self, packed: pa.Array) -> list[pa.Array]:
         """Of each text: words and one end, words that are common, the sum of their log10(count + 1), the model's log10
         probability, and the keys of all other words."""
-        if len(self.words) > self.words.keep:
-            self._forget()
-        row, n = self.words.rows(texts)
-        new = list(map(key_of, self.words.names[len(self.count) :]))
-        if new:
-            self.count = np.concatenate((self.count, np.fromiter(map(self.common.get, new, repeat(0)), np.int64, len(new))))
-            self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.binary())])
-        ids, length = self.words.spelled(row, n)
-        laid = Laid(ids, length, self.model.into, self.model.out)
-        score = np.add.reduceat(self.model.log_p(laid), laid.begin) / math.log(10) if len(texts) else np.zeros(0)
-        count, text = self.count[row], np.repeat(np.arange(len(n)), n)
-        known = count > 0
+        ids, length = unpacked_ids(packed, self.n_vocab)
+        begin = np.flatnonzero(self.spaced[ids])
+        n = np.diff(np.searchsorted(begin, np.append(0, np.cumsum(length))))
+        keys, row = self.words(ids, begin) if len(begin) else ([], np.zeros(0, np.int32))
+        laid = Laid(ids, length + 1, self.model.into, self.model.out)
+        score = np.add.reduceat(self.model.log_p(laid), laid.begin) / math.log(10) if len(n) else np.zeros(0)
+        count, text = np.fromiter(map(self.common.get, keys, repeat(0)), np.int64, len(keys)), np.repeat(np.arange(len(n)), n)
+        known = (count > 0)[row]
         common = np.bincount(text, known, len(n)).astype(np.int64)
-        logs = np.bincount(text, np.log10(count + 1.0), len(n))
-        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - common)), pa.int32()), self.keys.take(pa.array(row[~known])))
+        logs = np.bincount(text, np.log10(count + 1.0)[row], len(n)).astype(np.float64)  # whole numbers if there is no word
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - common)), pa.int32()), pa.array(keys, pa.binary()).take(pa.array(row[~known])))
         return [pa.array(n + 1), pa.array(common), pa.array(logs), pa.array(score), others]
 
 
@@ -554,7 +611,9 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, training, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("trained"))
     end = tokenizer(raw.value, pattern).n_vocab
-    counts = _counts(rows.filter("trained"), raw, pattern)
+    texts = _texts(rows, raw, pattern)
+    counts = _counts(texts, raw, pattern)
+    rows = texts.filter("ids is not null").select("doc_id", "ids", "trained")
     words = counts.filter("pair is null").select("word", F.col("n").alias("c"))
     pairs = counts.filter("pair is not null").select(F.expr(f"pair div {end + 1}").alias("a"), (F.col("pair") % (end + 1)).alias("b"), "n")
     n = int(pairs.filter(F.col("a") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # texts
@@ -578,7 +637,6 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, training, id_col: str
         for batch in batches:
             for part in portions(batch, 1):
                 yield pa.record_batch([part.column(0), part.column(2), *scorer.score(part.column(1))], names=["doc_id", "trained", "n_tokens", "n", "total", "score", "words"])
-        scorer._forget()
         trim()
 
     made = rows.mapInArrow(run, f"doc_id {kind}, trained boolean, n_tokens long, n long, total double, score double, words array<binary>")

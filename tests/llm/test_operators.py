@@ -605,6 +605,31 @@ def test_lm_trains_on_every_text(docs, encoding, monkeypatch):
     assert seen == [sum(1 + sum(len(encoding.encode_ordinary(" " + w.decode())) for w in lm.words_of(t)) for t in texts)]
 
 
+def test_lm_spells_texts_once(docs, spark, encoding, monkeypatch):
+    """Training and scoring read the ids that were written when words were counted; words come back from ids as they were."""
+    odd = ["a\u00a0b \u00a0 \u3000z \x1c\x85", "x" * 70_000 + " \U0001f642\u6f22", "\u0130 A\x0cB\t\tc", "  ", None]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(800 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    seen, fit, texts, texts_of = [], lm.fit, lm._texts, {}
+    monkeypatch.setattr(lm, "fit", lambda table, *a: seen.append(table) or fit(table, *a))
+    monkeypatch.setattr(lm, "_texts", lambda *a: seen.append(texts(*a)) or seen[-1])
+    got = lm.score(rows, path(), public_tokenizers.PATTERN, F.lit(True)).collect()
+    written, trained = seen
+    assert "text" not in trained.columns and "ids" in trained.columns
+    plain = Counter((r.doc_id, tuple(i for w in lm.words_of(r.text) for i in encoding.encode_ordinary(" " + w.decode()))) for r in rows.collect())
+    packed = [r for r in written.collect() if r.ids is not None]
+    assert Counter((r.doc_id, tuple(lm.unpacked_ids(pa.array([r.ids], pa.binary()), encoding.n_vocab)[0].tolist())) for r in packed) == plain
+    scorer = lm.Scorer(None, encoding, {})
+    for r in packed:
+        ids, _ = lm.unpacked_ids(pa.array([r.ids], pa.binary()), encoding.n_vocab)
+        if len(ids):
+            keys, row = scorer.words(ids, np.flatnonzero(scorer.spaced[ids]))
+            texts_of.setdefault(r.doc_id, []).append([keys[i] for i in row])
+    for r in rows.collect():
+        assert [lm.key_of(w) for w in lm.words_of(r.text)] in texts_of.get(r.doc_id, [[]])
+    assert sorted(r.n_tokens for r in got) == sorted(len(lm.words_of(r.text)) + 1 for r in rows.collect())
+    assert all(r.n_known == r.n_tokens for r in got)
+
+
 def test_lm_sums_by_class():
     rng = np.random.default_rng(3)
     for n, most in ((1, 1), (700, 3), (700, lm.IN)):
