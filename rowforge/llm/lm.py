@@ -173,17 +173,33 @@ def _kind(n_vocab: int) -> np.dtype:
 #: Distance of key from query; 1 where a query may see the key.
 AWAY = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 SEEN = (AWAY >= 0).astype(np.float32)
+ONE = np.ones(OUT, np.float32)
+#: Rows of logits that are worked on while they are in a core's cache, rows that BLAS multiplies without packing, and
+#: classes whose rows are summed together.
+ROWS, FEW, NEAR = 2048, 256, 8
+EYE = np.eye(NEAR, dtype=np.float32)
+#: What the classes of a window are multiplied by to give the pairs (query, key), IN times the query plus the key.
+PAIRED = np.kron(np.eye(BLOCK), np.ones(2 * BLOCK)).reshape(BLOCK, -1) * IN
+PAIRED = (np.concatenate((np.zeros_like(PAIRED), PAIRED)) + np.tile(np.eye(2 * BLOCK), BLOCK)).astype(np.float32)
 
 
 def _sum_rows(key: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The sums of the rows of ``values`` by their key, an input class."""
-    values, one = values.take(np.argsort(key, kind="stable"), 0), np.ones(len(key), np.float32)
-    out, lo = np.zeros((IN, values.shape[1]), np.float32), 0
-    for row, hi in zip(out, np.cumsum(np.bincount(key, minlength=IN)).tolist()):
-        if hi > lo:
-            one[lo:hi].dot(values[lo:hi], row)
-            lo = hi
-    return out
+    """The sums of the rows of ``values`` by their key, an input class: of narrow rows one class after another, of others
+    by NEAR classes at a time, as products with 0 and 1."""
+    if values.shape[1] <= DIM:
+        n, out = np.bincount(key, minlength=IN), np.zeros((IN, values.shape[1]), np.float32)
+        on = np.flatnonzero(n)
+        out[on] = np.add.reduceat(values.take(np.argsort(key, kind="stable"), 0), (np.cumsum(n) - n)[on], 0)
+        return out
+    group = key // NEAR
+    order, stop = np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=IN // NEAR)).tolist()
+    own, out = EYE.take(key.take(order) % NEAR, 0), np.zeros((IN // NEAR, NEAR, values.shape[1]), np.float32)
+    work = np.empty((FEW, values.shape[1]), np.float32)
+    for lo, end, sums in zip([0, *stop], stop, out):
+        for lo in range(lo, end, FEW):
+            hi = min(lo + FEW, end)
+            sums += own[lo:hi].T @ np.take(values, order[lo:hi], 0, out=work[: hi - lo], mode="clip")
+    return out.reshape(IN, -1)
 
 
 class Attention:
@@ -200,91 +216,142 @@ class Attention:
         self.b, self.c = np.zeros((IN, OUT), np.float32), np.zeros((IN, OUT), np.float32)
 
     def prepare(self) -> None:
-        """Works out what forward() looks up; to be done whenever the tables have changed."""
+        """Works out what seen() and logits() look up; to be done whenever the tables have changed."""
         pairs = (self.q * np.float32(DIM**-0.5)) @ self.k.T
-        np.clip(pairs, -30, 30, out=pairs)
+        if float(np.square(self.q).sum(1).max()) * float(np.square(self.k).sum(1).max()) > 900 * DIM:  # else none is beyond
+            np.clip(pairs, -30, 30, out=pairs)
         self.pairs = np.exp(pairs, out=pairs).ravel()
         self.near = SEEN * np.exp(np.clip(self.r, -30, 30))[np.maximum(AWAY, 0)]
-        most = lambda x: float(np.abs(x).max())
+        most = lambda x: max(float(x.max()), -float(x.min()))
         self.tame = DIM * most(self.v) * most(self.u) + most(self.b) + most(self.c) < 80  # no logit overflows
 
-    def forward(self, x: np.ndarray, last: np.ndarray, before: np.ndarray, first: np.ndarray):
-        """x, last, before (blocks, BLOCK): input classes, those one place back, and the block before each; ``first``
-        marks the blocks that begin a text. The last of what it returns are the logits of output classes."""
-        both = np.concatenate((before, x), 1).astype(np.intp)
-        at = (both[:, BLOCK:] * IN)[:, :, None] + both[:, None, :]
+    def seen(self, x: np.ndarray, before: np.ndarray, first: np.ndarray):
+        """x, before (blocks, BLOCK): input classes, those of the block before each; ``first`` marks the blocks that begin
+        a text. Gives the pairs (query, key) of the windows, the attention, the values and their mean."""
+        both = np.concatenate((before, x), 1)
+        at = (both.astype(np.float32) @ PAIRED).astype(np.intp).reshape(-1, BLOCK, 2 * BLOCK)
         a = self.pairs.take(at)
         a *= self.near
         a[first, :, :BLOCK] = 0
-        a /= np.einsum("btj->bt", a)[:, :, None]
+        rows = a.reshape(-1, 2 * BLOCK)
+        rows *= (np.float32(1) / (rows @ ONE[: 2 * BLOCK]))[:, None]
         v = self.v.take(both, 0)
-        h = (a @ v).reshape(-1, DIM)
-        z = h @ self.u
-        z += self.b.take(x.ravel(), 0)
-        z += self.c.take(last.ravel(), 0)
+        return at, a, v, (a @ v).reshape(-1, DIM)
+
+    def logits(self, h: np.ndarray, x: np.ndarray, last: np.ndarray, z: np.ndarray, work: np.ndarray) -> None:
+        """Puts into ``z`` the logits of output classes, after mean values h, classes x and those one place back."""
+        np.matmul(h, self.u, out=z)
+        z += np.take(self.b, x, 0, out=work, mode="clip")
+        z += np.take(self.c, last, 0, out=work, mode="clip")
         if not self.tame:
             z -= z.max(1, keepdims=True)
-        return at, a, v, h, z
 
-    def log_p(self, x: np.ndarray, last: np.ndarray, y: np.ndarray, first: np.ndarray, step: int = 512) -> np.ndarray:
-        """Log probability of each target class y of blocks that follow one another."""
+    def log_p(self, x: np.ndarray, last: np.ndarray, y: np.ndarray, first: np.ndarray, step: int = 128) -> np.ndarray:
+        """Log probability of each target class y of blocks that follow one another. All is worked out for ``step`` blocks
+        at a time, the last of them too, so that a text has the same probabilities wherever it stands."""
         self.prepare()
-        out = np.empty(x.size, np.float32)
-        before = np.concatenate((x[:1], x[:-1]))
-        one = np.ones(OUT, np.float32)
-        for lo in range(0, len(x), step):
-            s = slice(lo, lo + step)
-            z = self.forward(x[s], last[s], before[s], first[s])[-1]
-            at = z[np.arange(len(z)), y[s].ravel()]
+        size, n = len(x), step * BLOCK
+        out = np.empty(-(-size // step) * n, np.float32)
+        z, work, start = np.empty((n, OUT), np.float32), np.empty((n, OUT), np.float32), np.arange(0, n * OUT, OUT)
+        for lo in range(0, size, step):
+            some = [x[lo : lo + step], x[lo - 1 : lo + step - 1] if lo else np.concatenate((x[:1], x[: step - 1])), first[lo : lo + step], last[lo : lo + step], y[lo : lo + step]]
+            if lo + step > size:
+                some = [np.concatenate((k[: size - lo], np.zeros((lo + step - size, *k.shape[1:]), k.dtype))) for k in some]
+            self.logits(self.seen(*some[:3])[-1], some[0].ravel(), some[3].ravel(), z, work)
+            at = z.ravel().take(start + some[4].ravel())
             np.exp(z, out=z)
-            out[lo * BLOCK : lo * BLOCK + len(z)] = at - np.log(z @ one)
-        return out
+            out[lo * BLOCK : lo * BLOCK + n] = at - np.log(z @ ONE)
+        return out[: size * BLOCK]
 
     def begin(self) -> None:
         """Forgets what step() holds of earlier gradients."""
-        self.mean = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
-        self.square = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
+        self._flat = None
+        self._moments = np.zeros((2, self.packed().size), np.float32)
         self.steps = 0
 
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The tables in a row of numbers like that of packed()."""
+        sizes = [getattr(self, n).size for n in self.NAMES]
+        return {n: part.reshape(getattr(self, n).shape) for n, part in zip(self.NAMES, np.split(flat, np.cumsum(sizes)[:-1]))}
+
+    def _join(self) -> None:
+        """Lays the tables into one row, so that step() changes them at once."""
+        if self._flat is None or any(getattr(self, n) is not own for n, own in self._own.items()):
+            self._flat = self.packed()
+            self._own, self._grad = self._views(self._flat), np.empty_like(self._flat)
+            self._into, self.mean, self._work = self._views(self._grad), self._views(self._moments[0]), np.empty_like(self._flat)
+            for n, own in self._own.items():
+                setattr(self, n, own)
+
     def step(self, x: np.ndarray, last: np.ndarray, before: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One step by the gradient of blocks as in forward(), with target classes y and their weight (0: no target)."""
+        """One step by the gradient of blocks as in seen(), with the classes ``last`` one place back, target classes y and
+        their weight (0: no target)."""
+        self._join()
         self.prepare()
-        at, a, v, h, d = self.forward(x, last, before, first)
-        np.exp(d, out=d)
-        weight = weight.ravel() / np.float32(max(1.0, float(weight.sum())))
-        d *= (weight / (d @ np.ones(OUT, np.float32)))[:, None]
-        d.reshape(-1)[np.arange(0, d.size, OUT) + y.ravel()] -= weight
-        dh = (d @ self.u.T).reshape(len(x), BLOCK, DIM)
-        da = dh @ v.transpose(0, 2, 1)
-        da -= np.einsum("btj,btj->bt", da, a)[:, :, None]
+        at, a, v, h = self.seen(x, before, first)
+        classes, last, weight = x.ravel(), last.ravel(), weight.ravel() / np.float32(max(1.0, float(weight.sum())))
+        n = len(classes)
+        if len(self._room) < n + ROWS:
+            self._room = np.empty((n + ROWS, OUT), np.float32)
+        d, work = self._room[ROWS : ROWS + n], self._room[:ROWS]
+        dh, target = np.empty((n, DIM), np.float32), np.arange(0, n * OUT, OUT) + y.ravel()
+        for lo in range(0, n, ROWS):
+            s, z = slice(lo, lo + ROWS), d[lo : lo + ROWS]
+            self.logits(h[s], classes[s], last[s], z, work[: len(z)])
+            np.exp(z, out=z)
+            z *= (weight[s] / (z @ ONE))[:, None]
+            z.reshape(-1)[target[s] - lo * OUT] -= weight[s]
+            np.matmul(z, self.u.T, out=dh[s])
+        g, whole = self._into, n // FEW * FEW
+        np.sum(h[:whole].reshape(-1, FEW, DIM).transpose(0, 2, 1) @ d[:whole].reshape(-1, FEW, OUT), 0, out=g["u"])
+        g["u"] += h[whole:].T @ d[whole:]
+        g["b"][:] = _sum_rows(classes, d)
+        g["c"][:] = _sum_rows(last, d)
+        dh = dh.reshape(len(x), BLOCK, DIM)
+        da = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
         da *= a
-        pairs = np.bincount(at.ravel(), da.ravel(), IN * IN).reshape(IN, IN).astype(np.float32) * np.float32(DIM**-0.5)
-        grad = {
-            "q": pairs @ self.k, "k": pairs.T @ self.q, "v": _sum_rows(np.concatenate((before, x), 1).ravel(), (a.transpose(0, 2, 1) @ dh).reshape(-1, DIM)),
-            "r": np.bincount(np.maximum(AWAY, 0).ravel(), da.sum(0).ravel(), 2 * BLOCK).astype(np.float32),
-            "u": h.T @ d, "b": _sum_rows(x.ravel(), d), "c": _sum_rows(last.ravel(), d),
-        }
+        rows = da.reshape(-1, 2 * BLOCK)
+        rows -= a.reshape(-1, 2 * BLOCK) * (rows @ ONE[: 2 * BLOCK])[:, None]
+        pairs = np.zeros(IN * IN, np.float32)
+        np.add.at(pairs, at.ravel(), da.ravel())
+        pairs = pairs.reshape(IN, IN)
+        pairs *= np.float32(DIM**-0.5)
+        np.matmul(pairs, self.k, out=g["q"])
+        np.matmul(pairs.T, self.q, out=g["k"])
+        dv = a.transpose(0, 2, 1) @ dh
+        if np.array_equal(before[1:], x[:-1]):  # blocks that follow one another: a key's two places are summed at once
+            sums = np.zeros((len(x) + 1, BLOCK, DIM), np.float32)
+            sums[:-1] = dv[:, :BLOCK]
+            sums[1:] += dv[:, BLOCK:]
+            g["v"][:] = _sum_rows(np.append(before[:1], x), sums.reshape(-1, DIM))
+        else:
+            g["v"][:] = _sum_rows(np.concatenate((before, x), 1).ravel(), dv.reshape(-1, DIM))
+        g["r"][:] = np.bincount(np.maximum(AWAY, 0).ravel(), np.ones(len(x), np.float32) @ da.reshape(len(x), -1), 2 * BLOCK)
         self.steps += 1
         now = np.float32(rate * math.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
-        for n, g in grad.items():
-            own, mean, square = getattr(self, n), self.mean[n], self.square[n]
-            mean += np.float32(0.1) * (g - mean)
-            g *= g
-            square += np.float32(0.01) * (g - square)
-            np.sqrt(square, out=g)
-            g += np.float32(1e-8)
-            np.divide(mean, g, out=g)
-            g *= now
-            own -= g
-
-    def train(self, laid: Laid, on: np.ndarray, rate: float) -> int:
-        """Steps over the blocks ``on`` of texts; returns how many targets they have."""
+        g, w, (mean, square) = self._grad, self._work, self._moments
+        for moment, part in ((mean, 0.1), (square, 0.01)):
+            np.subtract(g, moment, out=w)
+            w *= np.float32(part)
+            moment += w
+            np.square(g, out=g)
+        np.sqrt(square, out=g)
+        g += np.float32(1e-8)
+        np.divide(mean, g, out=g)
+        g *= now
+        self._flat -= g
+
+    _room = np.empty((0, OUT), np.float32)
+
+    def train(self, laid: Laid, on: np.ndarray | None, rate: float) -> int:
+        """Steps over the blocks ``on`` of texts, or over all in their order; returns how many targets they have."""
         targets = 0
-        for lo in range(0, len(on), STEP_BLOCKS):
-            i = on[lo : lo + STEP_BLOCKS]
-            weight = laid.real[i].astype(np.float32)
+        for lo in range(0, len(laid.x) if on is None else len(on), STEP_BLOCKS):
+            i = slice(lo, lo + STEP_BLOCKS) if on is None else on[lo : lo + STEP_BLOCKS]
+            before = laid.x[i - 1] if on is not None else laid.x[lo - 1 : lo - 1 + STEP_BLOCKS] if lo else np.concatenate((laid.x[-1:], laid.x[: STEP_BLOCKS - 1]))
+            weight, x = laid.real[i].astype(np.float32), laid.x[i]
             targets += int(weight.sum())
-            self.step(laid.x[i], laid.last[i], laid.x[i - 1], laid.first[i], laid.y[i], weight, rate)
+            self.step(x, laid.last[i], before[: len(x)], laid.first[i], laid.y[i], weight, rate)
         return targets
 
     def packed(self) -> np.ndarray:
@@ -498,7 +565,7 @@ def _go_on(docs: DataFrame, raw, pattern: str, attention: Attention, into: np.nd
             for part in portions(batch, 0):
                 ids, length = unpacked_ids(part.column(0), end)
                 laid = Laid(ids, length + 1, into, out)
-                targets += own.train(laid, np.arange(len(laid.x)), STEP_RATE)
+                targets += own.train(laid, None, STEP_RATE)
         if targets:
             values = np.rint(own.packed().astype(np.float64) * UNIT).astype(np.int64) * targets
             values = np.append(values, targets)
@@ -568,13 +635,17 @@ class Scorer:
 
     def words(self, ids: np.ndarray, begin: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The keys of the distinct words that begin at ``begin``, and which one each word is."""
-        offsets = np.append(0, np.cumsum(self.width[ids], dtype=np.int64))[np.append(begin, len(ids))].astype(np.int32)
-        spelled = self.bytes.take(pa.array(ids)).buffers()[2]
-        found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), spelled]).dictionary_encode()
-        each, n = found.dictionary, len(found.dictionary)
-        at = np.repeat(np.frombuffer(each.buffers()[1], np.int32)[: n + 1], 2)[:-1]
+        ids = np.ascontiguousarray(ids)
+        offsets = (np.append(begin, len(ids)) * ids.itemsize).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).dictionary_encode()
+        each, n = found.dictionary, len(found.dictionary)  # as ids; spelled now
+        own = np.frombuffer(each.buffers()[2], ids.dtype, each.buffers()[2].size // ids.itemsize)
+        stop = np.frombuffer(each.buffers()[1], np.int32)[: n + 1] // ids.itemsize
+        own = own[: stop[-1]]
+        at = np.repeat(np.append(0, np.cumsum(self.width[own], dtype=np.int64))[stop].astype(np.int32), 2)[:-1]
         at[1::2] += 1  # the space of each word apart
-        names = pa.Array.from_buffers(pa.binary(), 2 * n, [None, pa.py_buffer(at), each.buffers()[2]]).take(pa.array(np.arange(1, 2 * n, 2)))
+        spelled = self.bytes.take(pa.array(own)).buffers()[2]
+        names = pa.Array.from_buffers(pa.binary(), 2 * n, [None, pa.py_buffer(at), spelled]).take(pa.array(np.arange(1, 2 * n, 2)))
         keys = names.to_numpy(zero_copy_only=False).tolist()
         for i in np.flatnonzero(pc.binary_length(names).to_numpy() > KEY_BYTES).tolist():
             keys[i] = key_of(keys[i])

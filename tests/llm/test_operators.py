@@ -640,6 +640,29 @@ def test_lm_sums_by_class():
         assert np.allclose(lm._sum_rows(key, values), plain, atol=1e-4)
 
 
+def test_lm_blocks_in_order(encoding):
+    """Steps over all blocks in order are those over the same blocks in any order; a text's probabilities are the same,
+    to the last bit, wherever it stands."""
+    rng = np.random.default_rng(5)
+    n = encoding.n_vocab + 1
+    into, out = (np.append(rng.integers(0, k - 1, n - 1), k - 1).astype(np.uint8) for k in (lm.IN, lm.OUT))
+    some = [prose(i, 5 + 7 * i) for i in range(25)]
+    laid = laid_of(some, into, out, encoding)
+    assert 128 < len(laid.x) < lm.STEP_BLOCKS
+    tables = []
+    for on in (None, np.arange(len(laid.x)), rng.permutation(len(laid.x))):
+        att = lm.Attention(2)
+        att.begin()
+        assert att.train(laid, on, 0.01) == laid.real.sum()
+        tables.append(np.concatenate([att.mean[k].ravel() for k in att.NAMES]))
+    assert np.array_equal(tables[0], tables[1])
+    assert np.abs(tables[0]).max() > 1e-3 and np.allclose(tables[0], tables[2], atol=1e-6)
+    whole = att.log_p(laid.x, laid.last, laid.y, laid.first)
+    for text, at in zip(some, laid.begin):
+        alone = laid_of([text], into, out, encoding)
+        assert np.array_equal(att.log_p(alone.x, alone.last, alone.y, alone.first), whole[at : at + alone.x.size])
+
+
 def test_lm_joined_words(docs, spark, monkeypatch):
     """Words found by the join count like words of the common table, long ones too; the score does not depend on it."""
     more = spark.createDataFrame([(900 + i, f"{'longword' * 20} {'y' * 70} short", None) for i in range(9)], "doc_id long, text string, lang string")
