@@ -483,7 +483,9 @@ def _texts(docs: DataFrame, raw, pattern: str) -> DataFrame:
         trim()
 
     found = docs.select("doc_id", "text", "trained").mapInArrow(run, f"doc_id {kind}, trained boolean, ids binary, word binary, pair long, n long")
-    return cut(found, "lm-texts")
+    found = cut(found, "lm-texts")
+    # by name: files of one size go into tasks in the order of their listing, which is any, and training follows it
+    return docs.sparkSession.read.schema(found.schema).parquet(*sorted(found.inputFiles()))
 
 
 def _counts(docs: DataFrame, raw, pattern: str) -> DataFrame:

@@ -663,6 +663,15 @@ def test_lm_blocks_in_order(encoding):
         assert np.array_equal(att.log_p(alone.x, alone.last, alone.y, alone.first), whole[at : at + alone.x.size])
 
 
+def test_lm_rows_in_order(spark):
+    """Written ids are read in one order, whatever the order of listing files of one size: training follows it."""
+    rows = spark.createDataFrame([(i, "some words" if i % 3 else "word some") for i in range(10, 58)], "doc_id long, text string").repartitionByRange(12, "doc_id")
+    raw = type("Sent", (), {"value": open(path(), "rb").read()})
+    written = lambda: lm._texts(rows.withColumn("trained", F.lit(True)), raw, public_tokenizers.PATTERN)
+    orders = [[r.doc_id for r in written().filter("ids is not null").collect()] for _ in range(3)]
+    assert sorted(orders[0]) == list(range(10, 58)) and orders[0] == orders[1] == orders[2]
+
+
 def test_lm_joined_words(docs, spark, monkeypatch):
     """Words found by the join count like words of the common table, long ones too; the score does not depend on it."""
     more = spark.createDataFrame([(900 + i, f"{'longword' * 20} {'y' * 70} short", None) for i in range(9)], "doc_id long, text string, lang string")
